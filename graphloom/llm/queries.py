@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import terms
+from graphloom.llm import packing, terms, tokens
 from graphloom.sources.tables import table
 
 
@@ -25,7 +25,24 @@ def p5_pairs(spark, d):
     return out.withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p5_found, p5_pairs)}
+def p7_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p7_decoded(spark, d):
+    """The texts again, out of their ids."""
+    return tokens.decode(p7_ids(spark, d))
+
+
+def p8_containers(spark, d):
+    return packing.pack(tokens.token_counts(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def p8_fill(spark, d):
+    return packing.fill_report(p8_containers(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p5_found, p5_pairs, p7_ids, p7_decoded, p8_containers, p8_fill)}
 
 _WS = r"[\s\pZ\x0b\x{1c}-\x{1f}\x{85}]+"
 _RECORDS = f"""
@@ -44,6 +61,7 @@ _H = "(CASE WHEN {0} > 0 THEN ({0})::DOUBLE * ln({0}) ELSE 0 END)"
 _LLR = "2 * (" + " + ".join(_H.format(x) for x in ("k_ab", "(k_a - k_ab)", "(k_b - k_ab)", "(n - k_a - k_b + k_ab)")) + " - " + " - ".join(_H.format(x) for x in ("k_a", "(n - k_a)", "k_b", "(n - k_b)")) + " + " + _H.format("n") + ")"
 
 SQL = {
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": f"WITH {_RECORDS.strip()} SELECT name, 'rare' AS mark FROM df WHERE n_records < 3 UNION ALL SELECT name, 'common' FROM df, n WHERE n_records * 100 > n * 5",
     "p2_terms": f"WITH {_RECORDS.strip()} SELECT name, occurrences, n_records, n_records / n AS share, n_records < 3 AS is_rare, n_records * 100 > n * 5 AS is_common FROM df, n",
     "p5_found": f"{_PAIRS} SELECT name_a, name_b FROM p WHERE k_ab * n >= 30 * k_a * k_b",
