@@ -178,7 +178,7 @@ TYPESCRIPT = Grammar(
     | _cross(["-", "+"], ["?", "readonly"]) | _cross(["}B", "]Q", ")P", "i", "S"], _TS_ANY | {"is", "satisfies", "implements"}) | _cross([";", "{", "}B", ",", "(", BOF, ":", "=", "|", "&", "<", "export", "default", "const", "import", "return"], _TS_ANY) | _cross(_TS_ANY, [":", "?", ",", ")P", ";", "}B", "=", ".", ">", "(", "<", "=>", "]Q", "|"])
     | _cross([")P"], [":"]) | _cross(["function", "new", "import", "class", "extends"], ["<", "(", "type", "{"]) | {("void", x) for x in [">", ";", ",", ")P", "{", "|", "=", "}B", "=>", "]Q", EOF]} | _cross(["<", "=>", ":", "|", "&", ","], ["void", "new", "typeof", "import"]) | _cross(["const", "declare"], ["enum"])
     | _cross(["this", "null", "true", "false"], [">", "|", ";", "]Q", "is", "&"]) | _cross(["=", ":", "<", "(", ","], ["|", "&"]) | {("i", "is"), ("}B", "as"), ("]Q", "as"), ("this", "is"), ("asserts", "i")} | _cross([")P", ">"], ["=>"]) | _cross(["]Q", "i"], ["extends"]) | _cross(["<"], ["const", "in", "out"]),
-    never=JAVASCRIPT.never - _cross([">", ">>", ">>>"], [EOF, ";"]) | _cross(["interface", "enum", "namespace", "declare"], [EOF]),
+    never=JAVASCRIPT.never - _cross([">", ">>", ">>>"], [EOF, ";"]) | _cross(["interface", "enum", "namespace", "declare"], [EOF]) | {(">>>", ">>>")},
     ends=JAVASCRIPT.ends | {">", "!", "void"} | _TS_ANY,
     starts=JAVASCRIPT.starts | _TS_ANY,
     wrong=_JS_WRONG.format(ts=":;<", kw="|abstract |declare ") + r"| interface i (?![B{<]|extends )| type i (?:;|⊣|i |\{|B )| enum i (?![B{])| namespace i (?![B{.])",

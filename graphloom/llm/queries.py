@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, terms, tokens
+from graphloom.llm import packing, syntax, terms, tokens
 from graphloom.sources.tables import table
 
 
+def p1_found(spark, d):
+    return syntax.broken_files(table(spark, d, "tree"), table(spark, d, "nodes"), table(spark, d, "ext_catalogue")).select("project", "path")
+
+
+def p1_rates(spark, d):
+    return syntax.broken_rates(*(table(spark, d, t) for t in ("tree", "nodes", "ext_catalogue", "failures")))
+
+
 def p2_found(spark, d):
     return terms.marked_terms(table(spark, d, "nodes"))
 
@@ -42,7 +50,7 @@ def p8_fill(spark, d):
     return packing.fill_report(p8_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p5_found, p5_pairs, p7_ids, p7_decoded, p8_containers, p8_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_terms, p5_found, p5_pairs, p7_ids, p7_decoded, p8_containers, p8_fill)}
 
 _WS = r"[\s\pZ\x0b\x{1c}-\x{1f}\x{85}]+"
 _RECORDS = f"""
