@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, syntax, terms, tokens
+from graphloom.llm import packing, provenance, syntax, terms, tokens
 from graphloom.sources.tables import table
 
 
@@ -24,6 +24,15 @@ def p2_terms(spark, d):
     return terms.term_counts(table(spark, d, "nodes"))
 
 
+def p4_found(spark, d):
+    return provenance.not_handwritten(table(spark, d, "nodes"), table(spark, d, "tree"))
+
+
+def p4_labels(spark, d):
+    """The label of every source file."""
+    return provenance.provenance(table(spark, d, "nodes"), table(spark, d, "tree")).select("project", "path", "label")
+
+
 def p5_found(spark, d):
     return terms.co_occurrence(table(spark, d, "nodes")).select("name_a", "name_b")
 
@@ -50,7 +59,7 @@ def p8_fill(spark, d):
     return packing.fill_report(p8_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_terms, p5_found, p5_pairs, p7_ids, p7_decoded, p8_containers, p8_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_terms, p4_found, p4_labels, p5_found, p5_pairs, p7_ids, p7_decoded, p8_containers, p8_fill)}
 
 _WS = r"[\s\pZ\x0b\x{1c}-\x{1f}\x{85}]+"
 _RECORDS = f"""
