@@ -14,7 +14,7 @@ LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 
 #: P(label of a file | label of its directory) and P(label of a directory | label of its parent); rows: the upper label.
 FILE_IN_DIR = (
-    (0.900, 0.030, 0.020, 0.030, 0.020),
+    (0.830, 0.080, 0.030, 0.040, 0.020),
     (0.080, 0.860, 0.020, 0.020, 0.020),
     (0.300, 0.040, 0.600, 0.040, 0.020),
     (0.050, 0.030, 0.060, 0.840, 0.020),
@@ -61,7 +61,7 @@ _HEAD = r"(?s)^\s*(?:(?:#!|//|#|--|/\*|\*|<!--|;|%)[^\n]*\n?\s*|\"\"\".{0,400}?\
 def features(tree: DataFrame) -> DataFrame:
     """Evidence of each text, computed where the text lies; the text itself goes no further.
 
-    (project, path, code_hash, code_chars, banner, hand, vendor, minified, data)
+    (project, path, code_hash, code_chars, banner, hand, headed, vendor, minified, data)
     """
     text = tree.where(F.col("content").isNotNull()).select("project", plain(F.col("path")).alias("path"), decoded(F.col("content")).alias("t"))
     code = text.select("project", "path", "t", F.trim(F.regexp_replace("t", _COMMENT, "")).alias("c"))
@@ -75,7 +75,7 @@ def features(tree: DataFrame) -> DataFrame:
     long_line = F.length("c") - F.length(F.regexp_replace("c", r"[^\n]{300,}+", ""))
     out = code.select(
         "project", "path", F.xxhash64("tight").alias("code_hash"), F.length("tight").alias("code_chars"),
-        F.rlike(F.lower(head), F.lit("(?m)" + GENERATED_BANNER)).alias("banner"), F.rlike(F.lower(head), F.lit(HAND_BANNER)).alias("hand"), F.rlike(F.lower(head), F.lit("(?m)" + VENDOR_BANNER)).alias("vendor"),
+        F.rlike(F.lower(head), F.lit("(?m)" + GENERATED_BANNER)).alias("banner"), F.rlike(F.lower(head), F.lit(HAND_BANNER)).alias("hand"), F.rlike(head, F.lit(r"[A-Za-z]{3}")).alias("headed"), F.rlike(F.lower(head), F.lit("(?m)" + VENDOR_BANNER)).alias("vendor"),
         ((n >= BULK_CHARS) & (n > 140 * lines) & (spaces < 0.10 * n) | (n >= BULK_CHARS) & (long_line > 0.6 * n) & (spaces < 0.08 * n) & ((short_names > 0.3 * names) | (spaces < 0.05 * n))).alias("minified"),
         ((F.length("tight") >= BULK_CHARS) & (rest < 0.06 * F.length("tight") + 60) & (rest < 0.25 * F.length("tight"))).alias("data"),
     )
@@ -118,8 +118,8 @@ def file_evidence(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     tiny = F.coalesce("code_chars", F.lit(1000)) < 60
     unseen = F.col("_f").isNull() & (F.col("bytes") > 300 * F.greatest(F.col("loc"), F.lit(1)))
     e = [
-        _add(F.lit(1.0), _if(yes("hand"), 2.5), _if(tiny, 2.5)),
-        _add(_if(yes("banner") & ~yes("hand"), 8.0), _if(F.rlike(name, F.lit(GENERATED_NAME)), 3.0), _if(~yes("banner"), -0.5), _if(tiny, -1.0)),
+        _add(F.lit(1.0), _if(yes("hand"), 2.5), _if(yes("headed") & ~yes("banner") & ~yes("vendor"), 1.0), _if(tiny, 2.5)),
+        _add(_if(yes("banner") & ~yes("hand"), 8.0), _if(F.rlike(name, F.lit(GENERATED_NAME)), 4.5), _if(~yes("banner"), -0.5), _if(tiny, -1.0)),
         _add(_if(yes("minified") & ~yes("data"), 8.0), _if(unseen, 2.0), _if(F.rlike(name, F.lit(MINIFIED_NAME)), 2.0), _if(~yes("minified") & F.col("_f").isNotNull(), -3.0)),
         _add(_if(copy, 8.0), _if(yes("vendor"), 4.5), _if(unique & ~yes("vendor"), -2.5), _if(foreign, 2.5), _if(tiny, -2.0)),
         _add(_if(yes("data"), 8.0), _if(unseen, 1.0), _if(~yes("data") & F.col("_f").isNotNull(), -3.0)),
@@ -149,7 +149,7 @@ def F_log(x: float) -> float:
 
 def _dir_evidence(path: Column) -> list[Column]:
     last = F.lower(base_name(path))
-    return [F.lit(0.0), _if(F.rlike(last, F.lit(GENERATED_DIR)), 3.0) + _if(F.rlike(last, F.lit(SURELY_GENERATED_DIR)), 3.0), _if(F.rlike(last, F.lit(MINIFIED_DIR)), 1.0), _if(F.rlike(last, F.lit(VENDOR_DIR)), 4.0), _if(F.rlike(last, F.lit(BLOB_DIR)), 0.5)]
+    return [F.lit(0.0), _if(F.rlike(last, F.lit(GENERATED_DIR)), 3.0) + _if(F.rlike(last, F.lit(SURELY_GENERATED_DIR)), 4.0), _if(F.rlike(last, F.lit(MINIFIED_DIR)), 1.0), _if(F.rlike(last, F.lit(VENDOR_DIR)), 4.0), _if(F.rlike(last, F.lit(BLOB_DIR)), 0.5)]
 
 
 def beliefs(evidence: DataFrame) -> DataFrame:
