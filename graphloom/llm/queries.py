@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, provenance, syntax, terms, tokens
+from graphloom.llm import abuse, packing, provenance, syntax, terms, tokens
 from graphloom.sources.tables import table
 
 
@@ -59,7 +59,15 @@ def p8_fill(spark, d):
     return packing.fill_report(p8_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_terms, p4_found, p4_labels, p5_found, p5_pairs, p7_ids, p7_decoded, p8_containers, p8_fill)}
+def p9_found(spark, d):
+    return abuse.abusive_documents(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "abuse_labels")).select("doc_id")
+
+
+def p9_rates(spark, d):
+    return abuse.abuse_rates(table(spark, d, "documents").select("doc_id", "text", "source"), table(spark, d, "abuse_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_terms, p4_found, p4_labels, p5_found, p5_pairs, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_rates)}
 
 _WS = r"[\s\pZ\x0b\x{1c}-\x{1f}\x{85}]+"
 _RECORDS = f"""
