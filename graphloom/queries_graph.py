@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import export, graph, stats
+from graphloom.operators.communities import communities as find_communities
+from graphloom.operators.scan import counters, scan
+from graphloom.plans.shared import materialise
 from graphloom.queries_general import PLAIN
 from graphloom.sources.tables import table
 
@@ -183,11 +186,28 @@ def vault_notes(spark, d):
     return export.notes(_n(spark, d), _e(spark, d), _d(spark, d))
 
 
+def communities(spark, d):
+    return find_communities(_n(spark, d), _e(spark, d))
+
+
+def scan_edges(spark, d):
+    """Edges found anew in the texts of ``tree``."""
+    return scan(table(spark, d, "tree")).edges
+
+
+def scan_diagnostics(spark, d):
+    return scan(table(spark, d, "tree")).diagnostics
+
+
+def scan_counters(spark, d):
+    return counters(scan(table(spark, d, "tree"), store=materialise))
+
+
 _FUNCS = (
     nodes_current, edges_distinct, scan_classify, coverage_summary, coverage_extensions, skipped_files, node_kinds, languages, external_packages, rate_by_lang, totals,
     unassigned_files, diagnostics_by_reason, diagnostics_by_file, diagnostics_capped, dependents, dependencies, blast_radius, blast_radius_by_depth, hubs_workspace, hubs_per_project,
     degree, package_users, package_near_misses, locate_suffix, locate_bare_name, suggest, search_rank, search_empty, filter_visible, visible_edges, filter_unresolved, folder_rollup,
-    folder_edges, unique_labels, export_graphml_rows, export_cypher_rows, vault_notes,
+    folder_edges, unique_labels, export_graphml_rows, export_cypher_rows, vault_notes, communities, scan_edges, scan_diagnostics, scan_counters,
 )
 QUERIES = {f.__name__: f for f in _FUNCS}
 
