@@ -50,7 +50,7 @@ _BLOCK = r"/\*(?:[^*]|\*(?!/))*+\*/"
 #: Comments come first in each pattern and capture nothing; literals capture one character.
 LEXEMES = {
     # template texts hold expressions; regular expressions start where no operand ended
-    "javascript": rf"(?:\A#![^\n]*+|{_LINE}|{_BLOCK})|({_DQ}|{_SQ}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{(?:[^{{}}`'\"]|{_SQ}|{_DQ}|`(?:[^`\\]|\\[\s\S])*+`|\{{[^{{}}]*+\}})*+\}})*+`|(?<=[(,=:\[!&|?{{}};>+\n]\s{{0,4}}|return\s{{1,4}}|\A)/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+)",
+    "javascript": rf"(?:\A#![^\n]*+|{_LINE}|{_BLOCK})|({_DQ}|{_SQ}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{(?:[^{{}}`'\"]|{_SQ}|{_DQ}|`(?:[^`\\]|\\[\s\S])*+`|\{{[^{{}}]*+\}})*+\}})*+`|/(?![/*])(?<=[(,=:\[!&|?{{}};>+\n]\s{{0,4}}/|return\s{{1,4}}/|\A/)(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+)",
     "go": rf"(?:{_LINE}|{_BLOCK})|({_DQ}|`[^`]*+`|'(?:[^'\\\n]|\\(?:[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}|.))')",
     "java": rf"(?:{_LINE}|{_BLOCK})|(\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{{4}}|[0-7]{{1,3}}|.))')",
     "c": rf"(?:{_LINE}|{_BLOCK}|(?m:^)[ \t]*+#[ \t]*+(?:(?:include|define|undef|if|ifdef|ifndef|elif|elifdef|elifndef|else|endif|error|warning|pragma|line|import|include_next|embed)\b(?:{_BLOCK}|[^\n\\/]|\\[\s\S]|/(?![/*]))*+|(?=\n)))|((?:\b(?:u8|[uUL]))?(?:{_DQ}|'(?:[^'\\\n]|\\.)++'))",
@@ -60,6 +60,8 @@ LEXEMES = {
     "shell": r"(?:(?<![^\s;&|()])#[^\n]*+)|((?<!<)<<-?(?!<)[ \t]*+(['\"\\]?)(\w++)['\"]?[^\n]*\n(?:[\s\S]*?\n)?[ \t]*+\3(?=\n|\z)|\$?'(?:[^'])*+'|\$?\"(?:[^\"\\`$]|\\[\s\S]|\$(?![({])|\$\((?:[^()\"]|\"(?:[^\"\\]|\\[\s\S])*+\"|\((?:[^()]|\([^()]*+\))*+\))*+\)|\$\{(?:[^{}]|\{[^{}]*+\})*+\}|`[^`]*+`)*+\"|\$\{(?:[^{}]|\{[^{}]*+\})*+\}|\$\(\((?:[^()]|\([^()]*+\))*+\)\)|`[^`]*+`)",
 }
 LEXEMES["typescript"] = LEXEMES["javascript"]
+#: first characters of the lexemes above, where all begin with one of few
+STARTS = {"javascript": "(?=[/\"'`#])", "typescript": "(?=[/\"'`#])", "go": "(?=[/\"'`])", "java": "(?=[/\"'])", "rust": "(?=[/\"'br])", "shell": "(?=[#<'\"$`])"}
 
 _NUMBER = r"(?<![\w$.\x{80}-\x{10FFFF}])(?:\.\d[\w]*+|\d[\w]*+(?:\.(?![.A-Za-z_])[\w]*+)?)(?:(?<=[eEpP])[+-]\d++)?"
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import extension, plain
-from graphloom.llm.grammar import BOF, EOF, GRAMMARS, LEXEMES, SHELL_OPERATORS, Grammar
+from graphloom.llm.grammar import BOF, EOF, GRAMMARS, LEXEMES, STARTS, SHELL_OPERATORS, Grammar
 from graphloom.plans.shared import materialise
 from graphloom.sources.tables import latest
 
@@ -50,7 +50,27 @@ def languages(tree: DataFrame, nodes: DataFrame, catalogue: DataFrame) -> DataFr
 
 
 def _alt(words) -> str:
-    return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    """Alternation of the words as a prefix tree, longest first, so that a position costs a few characters."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def show(t: dict) -> str:
+        parts = [re.escape(c) + show(sub) for c, sub in sorted(t.items()) if c]
+        if not parts:
+            return ""
+        inner = parts[0] if len(parts) == 1 and "" not in t else "(?:" + "|".join(parts) + ")"
+        return inner + "?+" if "" in t else inner
+
+    return show(tree)
+
+
+def _first(words) -> str:
+    """Lookahead for the first character of any of the words."""
+    return "(?=[" + "".join(re.escape(c) for c in sorted({w[0] for w in words})) + "])"
 
 
 _MARK_OPEN, _MARK_CLOSE = "\u0001", "\u0002"
@@ -58,7 +78,7 @@ _MARK_OPEN, _MARK_CLOSE = "\u0001", "\u0002"
 
 def _masked(lang: str, text: Column) -> Column:
     """Comments to blanks, literals to one mark."""
-    marked = F.regexp_replace(text, LEXEMES[lang], _MARK_OPEN + "$1" + _MARK_CLOSE)
+    marked = F.regexp_replace(text, STARTS.get(lang, "") + "(?:" + LEXEMES[lang] + ")", _MARK_OPEN + "$1" + _MARK_CLOSE)
     marked = F.replace(marked, F.lit(_MARK_OPEN + _MARK_CLOSE), F.lit(" "))
     return F.regexp_replace(marked, f"{_MARK_OPEN}[^{_MARK_CLOSE}]*+{_MARK_CLOSE}", _MARK_OPEN)
 
@@ -74,13 +94,13 @@ def _class_string(lang: str, g: Grammar, text: Column) -> Column:
     if lang == "ruby":
         # hash labels, method names that are words, and conditions behind a statement
         out = F.regexp_replace(out, r"(?<![\w:?])[A-Za-z_]\w*+[?!]?:(?![:\w])|(?<=\.)(?:class|if|end|then|begin|next|in|not|and|or|self|nil|while|until|unless|do|def|module)\b[?!]?", f" {_MARK_OPEN}i ")
-    out = F.regexp_replace(out, g.number, " 0 ")
-    out = F.regexp_replace(out, rf"(?<![\w$@\x{{80}}-\x{{10FFFF}}{_MARK_OPEN}])(?!(?:{_alt(g.keywords)})(?![\w$\x{{80}}-\x{{10FFFF}}])){g.ident}", " i ")
+    out = F.regexp_replace(out, r"(?=[.\d])" + g.number, " 0 ")
+    out = F.regexp_replace(out, rf"(?=[A-Za-z_@$\x{{80}}-\x{{10FFFF}}])(?<![\w$@\x{{80}}-\x{{10FFFF}}{_MARK_OPEN}])(?!(?:{_alt(g.keywords)})(?![\w$\x{{80}}-\x{{10FFFF}}])){g.ident}", " i ")
     out = F.regexp_replace(out, _MARK_OPEN + "i", " i ") if lang == "ruby" else out
     out = F.regexp_replace(out, _MARK_OPEN, " S ")
     out = F.regexp_replace(out, r"([(\[{])", " $1 ")
     out = F.replace(F.replace(F.replace(out, F.lit(")"), F.lit(" )P ")), F.lit("]"), F.lit(" ]Q ")), F.lit("}"), F.lit(" }B "))
-    out = F.regexp_replace(out, rf"({_alt([o for o in g.operators])})", " $1 ")
+    out = F.regexp_replace(out, rf"{_first(g.operators)}({_alt(g.operators)})", " $1 ")
     if lang in ("go", "javascript", "typescript", "python", "ruby"):
         out = F.regexp_replace(out, r"[^\S\n]*+\n\s*+", " ¶ ")
     out = F.concat(F.lit(f" {BOF} "), F.trim(F.regexp_replace(out, r"\s++", " ")), F.lit(f" {EOF} "))
@@ -157,7 +177,7 @@ def permissible(spark: SparkSession) -> DataFrame:
 
 # --- reductions -----------------------------------------------------------------------------------------
 
-_GROUP = r"\( (?:(?!\)P|\]Q|\}B|[(\[{] )\S+ )*+\)(P)|\[ (?:(?!\)P|\]Q|\}B|[(\[{] )\S+ )*+\](Q)|\{ (?:(?!\)P|\]Q|\}B|[(\[{] )\S+ )*+\}(B)"
+_GROUP = r"\( [^()\[\]{}]*+\)(P)|\[ [^()\[\]{}]*+\](Q)|\{ [^()\[\]{}]*+\}(B)"
 _RB_OPEN = "def|class|module|begin|do|case|if|unless|while|until|for"
 _REDUCE = {
     "ruby": [(_GROUP, "$1$2$3"), (rf"(?<= )(?:{_RB_OPEN}) (?:(?!(?:{_RB_OPEN}|end|\(|\[|\{{|\)P|\]Q|\}}B) )\S+ )*+end(?= )", "i")],
