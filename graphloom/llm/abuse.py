@@ -35,7 +35,7 @@ INVISIBLE = "[­​-‏‪-‮⁠﻿̀-ͯ]"
 # --- end of fixed values -------------------------------------------------------------------------------
 
 _STOP = ".!?…。！？\n"
-_TOKEN = r"\p{L}\*{2,}\p{L}*|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]|(?:(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}])\p{L})++|[.!?…](?=\s|\z)|[。！？\n]"
+_TOKEN = r"[a-z]++(?![\p{L}*])|\p{L}\*{2,}\p{L}*|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]|[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]++|[.!?…](?=\s|\z)|[。！？\n]"
 _SPACED = r"(?<!\p{L})\p{L}(?:[.\-_ ]{1,2}\p{L}(?!\p{L})){2,}+"
 
 
@@ -60,7 +60,7 @@ def plain_text(text: Column) -> Column:
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, toks) of every non-null text: hashes of its words in order, 0 between sentences and lines."""
     words = F.regexp_extract_all(plain_text(F.col("text")), F.lit(_TOKEN), F.lit(0))
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.transform(words, lambda w: F.when(w.isin(*_STOP), F.lit(0)).otherwise(F.hash(w))).alias("toks"))
+    return docs.where(F.col("text").isNotNull()).select("doc_id", F.transform(words, lambda w: F.when((F.length(w) == 1) & w.isin(*_STOP), F.lit(0)).otherwise(F.hash(w))).alias("toks"))
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ class Chain:
 
 
 def commonness(toks: DataFrame) -> np.ndarray:
-    """Weight of each feature out of the number of all documents that hold it: 1 for the rare, falling to 0 at 2 % of the documents.
+    """Weight of each feature out of the number of all documents that hold it: 1 for the rare, falling to 0 at a fifth of the documents.
 
     Every document counts; a task sends one count per feature, of which there are 2**BITS.
     """
@@ -144,7 +144,7 @@ def commonness(toks: DataFrame) -> np.ndarray:
     df = np.zeros(1 << BITS)
     own = got[got["f"] >= 0]
     df[own["f"].to_numpy()] = own["n"].to_numpy()
-    most = max(2.0, 0.02 * float(got.loc[got["f"] < 0, "n"].sum()))
+    most = max(2.0, 0.2 * float(got.loc[got["f"] < 0, "n"].sum()))
     return np.clip(np.log(most / np.maximum(df, 1)) / np.log(most), 0, 1)
 
 

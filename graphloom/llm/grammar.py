@@ -31,7 +31,7 @@ JAVA_OPERATORS = "... -> :: ++ -- && || == != <= >= << >> >>> <<= >>= >>>= += -=
 C_STATEMENT = "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool _Static_assert _Atomic _Noreturn".split()
 C_OPERATORS = "... -> ++ -- && || == != <= >= << >> <<= >>= += -= *= /= %= &= |= ^= + - * / % & | ^ ! ~ < > = ? : . , ;".split()
 RUST_STATEMENT = "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while".split()
-RUST_OPERATORS = "... ..= .. -> => :: && || == != <= >= << >> <<= >>= += -= *= /= %= &= |= ^= + - * / % & | ^ ! ~ < > = ? : . , ; @ # $".split()
+RUST_OPERATORS = "... ..= .. -> => :: && || == != <= >= << >> <<= >>= += -= *= /= %= &= |= ^= + - * / % & | ^ ! ~ < > = ? : . , ; @ # $ \u0003".split()
 PY_STATEMENT = "and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield None True False".split()
 PY_OPERATORS = "... ** // << >> <= >= == != -> := += -= *= /= //= %= @= &= |= ^= >>= <<= **= + - * / % @ & | ^ ~ < > = : . , ;".split()
 RUBY_STATEMENT = "alias and begin break case class def defined? do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield".split()
@@ -156,7 +156,7 @@ JAVASCRIPT = Grammar(
     extra=_cross("*", "as from ( i [ S ) ]Q ;".split()) | _cross("import export", ["*", "{", "S", "(", ".", "i"]) | _cross("{ ; }B ⊢ static async yield function get set".split(), "*") | _cross("?", [".", "[", "("]) | _cross("=", "/")
     | _cross(["[", ","], [","]) | _cross([":", "return", "break", "continue", "yield"], [";", "}B", EOF]) | _cross(".", _JS_KW) | _cross(_JS_KW, [":", ",", "(", "}B", ".", "="])
     | _cross("new", ".") | _cross("case default", ":") | _cross(["else", "do", "try", "finally", "=>"], ["{", "("]) | _cross(")P", ["=>", "i", "0", "S", "this", "super", "new", "!", "++", "--", "await"]) | _cross(["...", "#"], "i") | {("S", "as"), ("}B", "from"), ("i", "from"), ("default", "async")}
-    | _cross(["const", "var"], ["i", "[", "{"]) | _cross(["i", "}B", "]Q"], ["of", "in"]) | {("let", "i")},
+    | {("(", ";")} | _cross(["const", "var"], ["i", "[", "{"]) | _cross(["i", "}B", "]Q"], ["of", "in"]) | {("let", "i")},
     never=_cross([EOF], [EOF]) | _cross(_JS_INFIX - {"/"}, [EOF, ";"]) | _cross([":"], [":"]) | _cross(["const", "var", "import", "export", "throw", "if", "while", "for", "function", "case", "default", "new", "typeof", "extends", "as"], [EOF]),
     ends={"i", "0", "S", ")P", "]Q", "}B", "this", "super", "null", "true", "false", "return", "break", "continue", "++", "--", "from", "of", "as", "get", "set", "debugger", "yield", "async", "static"},
     starts={"i", "0", "S", "!", "~", "++", "--", "@", "#", "[", "*", *JS_STATEMENT, *JS_EXPRESSION, "from", "of", "get", "set", "static", "as"} - {"else", "catch", "finally"},
@@ -205,7 +205,7 @@ JAVA = Grammar(
     keywords=JAVA_STATEMENT, operators=JAVA_OPERATORS, prefix={"++", "--", "+", "-", "!", "~", "new", "@", *_JAVA_TYPE, *_JAVA_MOD, "...", "switch", "class", "super", "enum", "interface"}, postfix={"++", "--"}, infix=_JAVA_INFIX,
     operand={"this", "super", "true", "false", "null", "class", *_JAVA_TYPE}, join={"instanceof", "extends", "implements", "throws", "default"},
     touch=_cross(["i", ">", "]Q", ")P", "?", ">>", ">>>", *_JAVA_TYPE], ["i", "...", "this", "new", "S", "0"]) - {("i", "0"), ("i", "S"), ("i", "new"), ("]Q", "0"), ("]Q", "S")} | _cross([")P"], ["i", "0", "S", "!", "~", "(", "new", "this", "super", "@"]) | _cross(["i", ")P", "}B", "]Q"], ["@", *_JAVA_MOD, *_JAVA_TYPE]) | {("i", "class"), ("i", "enum"), ("i", "interface")},
-    extra=_cross(["return", "break", "continue"], [";"]) | _cross(["default"], [":", "->", "i"]) | _cross([".", "<", "import", "::"], ["*", ">", "class", "this", "super", "new", "static", "?"]) | _cross(["<"], ["?", ">", *_JAVA_TYPE]) | _cross(["?"], [">", ",", "extends", "super"]) | _cross([">", ">>", ">>>"], ["(", ")P", "{", ";", ",", "[", "]Q", ">", "extends", "implements", "&", "::", ".", "...", "=", *_JAVA_TYPE, "throws"]) | _cross(["*"], [";"]) | _cross(["->"], ["{"]) | _cross(["@"], ["interface"]) | _cross(_JAVA_MOD, ["<", "@"])
+    extra=_cross(["return", "break", "continue"], [";"]) | {("(", ";")} | _cross(["default"], [":", "->", "i"]) | _cross([".", "<", "import", "::"], ["*", ">", "class", "this", "super", "new", "static", "?"]) | _cross(["<"], ["?", ">", *_JAVA_TYPE]) | _cross(["?"], [">", ",", "extends", "super"]) | _cross([">", ">>", ">>>"], ["(", ")P", "{", ";", ",", "[", "]Q", ">", "extends", "implements", "&", "::", ".", "...", "=", *_JAVA_TYPE, "throws"]) | _cross(["*"], [";"]) | _cross(["->"], ["{"]) | _cross(["@"], ["interface"]) | _cross(_JAVA_MOD, ["<", "@"])
     | _cross(["="], ["{"]) | _cross(["]Q"], ["{", ",", "=", ";"]) | _cross([":"], [":"]) & set() | _cross([";"], [";"]),
     never=_cross(_JAVA_INFIX - {">", ">>", ">>>", "*"}, [";", EOF]) | _cross([","], [")P", "]Q", ";"]) | {("0", "{"), ("S", "{")} | _cross(["("], ["]Q", "}B"]),
     wrong=r" (?:class|interface|enum) (?!i |;|B |\)P|}B|,|\.|>|::|== |!= )(?!\{)| (?:if|while|for|switch|catch) (?![P(])| try (?![BP({])| try B (?!catch |finally )| finally (?![B{])| package (?!i )| (?:package|import)(?: static)? [^;]*[PB({]| do B (?!while )| new (?![i@]|boolean |byte |char |double |float |int |long |short |\( |P )",
@@ -218,7 +218,7 @@ C = Grammar(
     keywords=C_STATEMENT, operators=C_OPERATORS, prefix={"++", "--", "+", "-", "!", "~", "*", "&", "sizeof", ".", "...", *_C_TYPE}, postfix={"++", "--"}, infix=_C_INFIX,
     operand={*_C_TYPE}, join={*_C_TYPE},
     touch=_cross(["i", ")P", "]Q", "}B", *_C_TYPE], ["i"]) | _cross([")P"], ["i", "0", "S", "!", "~", "(", "{", "sizeof"]) | _cross(["S"], ["S", "i"]) | _cross(["i"], ["S"]) & set(),
-    extra=_cross(["return", "break", "continue"], [";"]) | _cross(["default"], [":"]) | _cross(["*"], [")P", ",", "const", "restrict", "*", "volatile", ";", "]Q", "("]) | _cross(["="], ["{"]) | _cross([",", "{"], ["[", ".", "{"]) | _cross(["extern"], ["S"]) | _cross(["S"], ["{", "i"]) | _cross([";"], [";"]) | _cross([":"], ["0", ";", "}B"]) | _cross(["("], [")P"]) | _cross(_C_TYPE, [")P", ",", ";", "*", "(", "[", "{"]) | _cross(["case", "goto"], ["i", "0", "S", "("]),
+    extra=_cross(["return", "break", "continue"], [";"]) | {("(", ";")} | _cross(["default"], [":"]) | _cross(["*"], [")P", ",", "const", "restrict", "*", "volatile", ";", "]Q", "("]) | _cross(["="], ["{"]) | _cross([",", "{"], ["[", ".", "{"]) | _cross(["extern"], ["S"]) | _cross(["S"], ["{", "i"]) | _cross([";"], [";"]) | _cross([":"], ["0", ";", "}B"]) | _cross(["("], [")P"]) | _cross(_C_TYPE, [")P", ",", ";", "*", "(", "[", "{"]) | _cross(["case", "goto"], ["i", "0", "S", "("]),
     never=_cross(_C_INFIX - {"*"}, [";", EOF]) | _cross([","], [")P", "]Q", ";"]) | {("0", "{"), ("S", "0"), ("[", ")P"), (":", ":"), ("i", "0")} | _cross([":"], ["="]),
     wrong=r" (?:if|while|for|switch) (?![P(])| switch P (?![B{])| do B (?!while )| (?:struct|union|enum)(?: i)? B ⊣| else (?:\)P|}B|⊣)| (?:struct|union|enum) (?![iB{])| i P (?:i )?⊣| ⊢ [^;{}B]*i i i i ",
     wrong_end=r" (?!;|B|\}B|⊢)\S+ ⊣",
@@ -226,11 +226,11 @@ C = Grammar(
 
 _RUST_INFIX = set("..= .. -> => :: && || == != <= >= << >> <<= >>= += -= *= /= %= &= |= ^= + - * / % & | ^ < > = : . @".split())
 RUST = Grammar(
-    keywords=RUST_STATEMENT, operators=RUST_OPERATORS, prefix={"-", "!", "*", "&", "&&", "|", "||", "..", "..=", "::", "<", "<<", "#", "$", "?", "ref", "mut", "move", "dyn", "impl", "unsafe", "async", "const", "for", "if", "match", "loop", "while", "return", "break", "continue", "fn", "extern", "'"}, postfix={"?", "..", ">", ">>"}, infix=_RUST_INFIX,
+    keywords=RUST_STATEMENT, operators=RUST_OPERATORS, prefix={"-", "!", "*", "&", "&&", "|", "||", "..", "..=", "::", "<", "<<", "#", "$", "?", "ref", "mut", "move", "dyn", "impl", "unsafe", "async", "const", "for", "if", "match", "loop", "while", "return", "break", "continue", "fn", "extern", "\u0003"}, postfix={"?", "..", ">", ">>"}, infix=_RUST_INFIX,
     operand={"self", "Self", "super", "crate", "true", "false", "await", "return", "break", "continue"}, join={"as", "in", "where", "else", "if", "for"},
-    touch=_cross(["i", ")P", "]Q"], ["'"]) | _cross(["i"], ["!"]) | _cross(["!"], ["i", "(", "[", "{"]) | _cross(["]Q", ">", ")P", ">>"], ["i", "S", "for", "where"]) - {(")P", "i"), (")P", "S")},
-    extra=_cross([":", "=>", "->", "&", "<", "+", "(", ","], ["'", "?", "&&", "dyn", "impl", "fn", "for", "!"]) | _cross([">", ">>"], ["(", ")P", "{", ";", ",", "[", "]Q", "=", "::", "+", ">", "where", "for", "|", ".", "?", "=>", "}B", ":", EOF, "'"]) | _cross(["#"], ["[", "!", "i", "("]) | _cross(["..", "..="], [")P", "]Q", "}B", ",", "{", "=>", "]"]) | _cross(["*"], ["}B", ",", ")P", "const", "mut", ";"]) | _cross(["|", "||"], ["i", "{", "&", "(", "_", "mut", "|", "->"]) | _cross(["::"], ["<", "{", "*", "(", "self", "super"]) | _cross(["return", "break", "continue", "self", "Self", "super", "crate"], [";", ",", "}B", ")P", "=>", "::", ".", ":", "{", ">", "]Q"])
-    | _cross(["&", "mut", "const", "ref"], ["self", "mut", "i", "'", "raw"]) | _cross(["pub"], ["("]) | _cross(["}B", ";", "{", BOF, ",", ")P", "]Q"], ["#", "'"]) | _cross(["$"], ["i", "(", "crate"]) | _cross(["fn", "for", "impl"], ["<", "("]) | _cross(["await"], ["?", ".", ";", ",", ")P"]) | _cross(["=>"], ["{", "("]) | _cross([";"], [";", "]Q"]) | _cross(["<"], [">"]) | _cross(["_"], ["=>"]) | _cross(["'"], []) | _cross(["!"], [";", ",", "{", "where", ")P"]) | _cross(["+"], ["'"]) | _cross([")P", "]Q", "}B"], ["'"]),
+    touch=_cross(["i"], ["!"]) | _cross(["!"], ["i", "(", "[", "{"]) | _cross(["]Q", ">", ")P", ">>"], ["i", "S", "for", "where"]) - {(")P", "i"), (")P", "S")},
+    extra=_cross([":", "=>", "->", "&", "<", "+", "(", ","], ["\u0003", "?", "&&", "dyn", "impl", "fn", "for", "!"]) | _cross([">", ">>"], ["(", ")P", "{", ";", ",", "[", "]Q", "=", "::", "+", ">", "where", "for", "|", ".", "?", "=>", "}B", ":", EOF, "\u0003"]) | _cross(["#"], ["[", "!", "i", "("]) | _cross(["..", "..="], [")P", "]Q", "}B", ",", "{", "=>", "]"]) | _cross(["*"], ["}B", ",", ")P", "const", "mut", ";"]) | _cross(["|", "||"], ["i", "{", "&", "(", "_", "mut", "|", "->"]) | _cross(["::"], ["<", "{", "*", "(", "self", "super"]) | _cross(["return", "break", "continue", "self", "Self", "super", "crate"], [";", ",", "}B", ")P", "=>", "::", ".", ":", "{", ">", "]Q"])
+    | _cross(["&", "mut", "const", "ref"], ["self", "mut", "i", "\u0003", "raw"]) | _cross(["pub"], ["("]) | _cross(["}B", ";", "{", BOF, ",", ")P", "]Q"], ["#", "\u0003"]) | _cross(["$"], ["i", "(", "crate"]) | _cross(["fn", "for", "impl"], ["<", "("]) | _cross(["await"], ["?", ".", ";", ",", ")P"]) | _cross(["=>"], ["{", "("]) | _cross([";"], [";", "]Q"]) | _cross(["<"], [">"]) | _cross(["_"], ["=>"]) | _cross(["\u0003"], ["i", "(", "[", "{", ">", ">>", ",", ":", "+", ")P", "]Q", "&", "mut", "dyn", "impl", "self", "=", "|", ";", "}B", "for", "loop", "while", "fn", "where", "Self"]) | _cross(["!"], [";", ",", "{", "where", ")P"]) | _cross(["+"], ["\u0003"]) | _cross([")P", "]Q", "}B"], ["\u0003"]),
     never=_cross(_RUST_INFIX - {">", ">>", "*", ".."}, [";", EOF]) | _cross(["("], ["]Q", "}B"]) | {(":", ":"), ("==", "="), ("=", "="), ("i", "S"), ("S", "S"), ("0", "0")} | _cross(["||"], ["||"]),
     wrong=r" fn (?![i(])| fn i (?![P(<])| (?:struct|enum|trait|mod|union) (?!i )| struct i (?![B{P(<;]|where )| enum i (?![B{<]|where )| impl (?:i )?⊣| use (?![iB{:*]|self |super |crate |:: )| match [^{}B;]*⊣| else (?![B{]|if )| use [^;]*⊣| let (?![i(\[&PQ]|mut |ref |Some |\| |0 |S |self )| # ! ⊣| # (?:! )?(?![!\[Q]|i |\( |P )| ⊢ i i",
     wrong_end=r" (?!;|B|\}B|⊢)\S+ ⊣",

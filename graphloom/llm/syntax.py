@@ -90,12 +90,12 @@ def _class_string(lang: str, g: Grammar, text: Column) -> Column:
     if lang in ("c", "rust", "ruby"):
         out = F.regexp_replace(out, r"\\\n", " ")
     if lang == "rust":
-        out = F.regexp_replace(out, r"'[A-Za-z_]\w*+", " ' ")
+        out = F.regexp_replace(out, r"(?<!\w)'[A-Za-z_]\w*+(?!')", " \u0003 ")
     if lang == "ruby":
         # hash labels, method names that are words, and conditions behind a statement
         out = F.regexp_replace(out, r"(?<![\w:?])[A-Za-z_]\w*+[?!]?:(?![:\w])|(?<=\.)(?:class|if|end|then|begin|next|in|not|and|or|self|nil|while|until|unless|do|def|module)\b[?!]?", f" {_MARK_OPEN}i ")
     out = F.regexp_replace(out, r"(?=[.\d])" + g.number, " 0 ")
-    out = F.regexp_replace(out, rf"(?=[A-Za-z_@$\x{{80}}-\x{{10FFFF}}])(?<![\w$@\x{{80}}-\x{{10FFFF}}{_MARK_OPEN}])(?!(?:{_alt(g.keywords)})(?![\w$\x{{80}}-\x{{10FFFF}}])){g.ident}", " i ")
+    out = F.regexp_replace(out, rf"(?=[A-Za-z_@$\x{{80}}-\x{{10FFFF}}])(?<![\w${"@" if lang == "ruby" else ""}\x{{80}}-\x{{10FFFF}}{_MARK_OPEN}])(?!(?:{_alt(g.keywords)})(?![\w$\x{{80}}-\x{{10FFFF}}])){g.ident}", " i ")
     out = F.regexp_replace(out, _MARK_OPEN + "i", " i ") if lang == "ruby" else out
     out = F.regexp_replace(out, _MARK_OPEN, " S ")
     out = F.regexp_replace(out, r"([(\[{])", " $1 ")
@@ -132,6 +132,7 @@ def _shell_string(text: Column) -> Column:
     out = F.regexp_replace(text, r"\\\n", " ")
     out = _masked("shell", out)
     out = F.regexp_replace(out, r"\\.", "x")
+    out = F.regexp_replace(out, "[\"'`]", " ¿ ")  # what is left of an unclosed literal
     out = F.regexp_replace(out, r"(?<=\w)\+?=\(", "=x (")
     out = F.regexp_replace(out, r"\(\((?:[^()]|\([^()]*+\))*+\)\)", " x ")
     out = F.regexp_replace(out, r"\$\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\)|\$\{(?:[^{}]|\{[^{}]*+\})*+\}", "x")
@@ -144,13 +145,14 @@ def _shell_string(text: Column) -> Column:
     out = F.replace(out, F.lit("  "), F.lit(" "))
     out = F.regexp_replace(out, r"(?<= )\}(?= )", "}B")
     out = F.regexp_replace(out, r"(?:; )++", "; ")
-    special = rf"(?:{_alt([*_SH_RESERVED, '{', '}B', ')P', 'R', BOF, EOF])}|{_alt(SHELL_OPERATORS)}|\()"
+    special = rf"(?:{_alt([*_SH_RESERVED, '{', '}B', ')P', 'R', '¿', BOF, EOF])}|{_alt(SHELL_OPERATORS)}|\()"
     out = F.regexp_replace(out, rf"(?<= )(?!{special} )\S+(?= )", "i")
     # arms: patterns up to an unmatched bracket after `in` or `;;`
     out = F.regexp_replace(out, r"(?<= (?:in|;;|;&|;;&) )((?:; )?)(?:\( )?(?:i|\*)(?: \| (?:i|\*))* \)P ", "$1ARM ; ")
     # reserved words count only where a command may start; `in` after a name of for, case or select
     out = F.regexp_replace(out, r"(?<!(?:for|case|select) i (?:; )?)(?<= )in(?= )", "i")
-    out = F.regexp_replace(out, rf"(?<= (?:i|R) )(?:{_alt([w for w in _SH_RESERVED if w != 'in'])}|\{{|\}}B)(?= )", "i")
+    for _ in range(3):  # words in a row, such as the arguments of `echo if then`
+        out = F.regexp_replace(out, rf"(?<= (?:i|R) )(?:{_alt([w for w in _SH_RESERVED if w != 'in'])}|\{{|\}}B)(?= )", "i")
     return out
 
 
@@ -187,9 +189,9 @@ _REDUCE = {
         (rf"(?<= )\{{ (?:{_SH_BLOCK})++\}}B(?= )", "B"), (rf"(?<= )\( (?:{_SH_BLOCK})*+\)P(?= )", "P"),
     ],
 }
-_OPENERS = {"ruby": rf" (?:[(\[{{]|{_RB_OPEN}) ", "shell": r" (?:if|do|case|\{|\() "}
+_OPENERS = {"ruby": rf"(?<= )(?:[(\[{{]|{_RB_OPEN})(?= )", "shell": r"(?<= )(?:if|do|case|\{|\()(?= )"}
 _LEFT_OVER = {"ruby": rf" (?:[(\[{{]|\)P|\]Q|\}}B|{_RB_OPEN}|end) ", "shell": r" (?:if|then|elif|else|fi|do|done|D|case|esac|for|while|until|select|[({]|\)P|\}B) "}
-_ANY_OPEN, _ANY_LEFT = r" [(\[{] ", r" (?:[(\[{]|\)P|\]Q|\}B) "
+_ANY_OPEN, _ANY_LEFT = r"(?<= )[(\[{](?= )", r" (?:[(\[{]|\)P|\]Q|\}B) "
 _SH_WRONG = r" i P (?:; )*(?:⊣|i )| (?:then|do|else|\{) (?:; )?(?:fi|done|elif|else|\}B) | if (?:; )?then "
 
 
