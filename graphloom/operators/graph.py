@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import base_name, plain, stem
+from graphloom.plans.shared import materialise
 from graphloom.sources.tables import latest
 
 #: limits of the question interface
@@ -60,11 +61,18 @@ def blast_radius(edges: DataFrame, subject: DataFrame, depth: int = DEPTH_DEFAUL
     """
     depth = max(1, min(DEPTH_MAX, depth))
     rev = edges.select("project", F.col("target").alias("id"), F.col("source").alias("_next"))
+    deep = depth > 4  # a short walk is one lazy plan; a deep one is cut at every level and ends with its frontier
+    if deep:
+        rev = materialise(rev, "reverse")
     known = subject.select("project", "id").limit(1).withColumn("depth", F.lit(0))
-    frontier = known
+    frontier = known = materialise(known, "known") if deep else known
     for level in range(1, depth + 1):
         new = frontier.join(rev, ["project", "id"]).select("project", F.col("_next").alias("id")).distinct()
         frontier = new.join(known.select("project", "id"), ["project", "id"], "left_anti").withColumn("depth", F.lit(level))
+        if deep:
+            frontier = materialise(frontier, "frontier")
+            if frontier.isEmpty():
+                break
         known = known.unionByName(frontier)
     return known.where(F.col("depth") > 0)
 
