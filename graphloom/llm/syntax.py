@@ -196,27 +196,29 @@ _SH_WRONG = r" i P (?:; )*(?:⊣|i )| (?:then|do|else|\{) (?:; )?(?:fi|done|elif
 
 
 def _step(lang: str, state: Column) -> Column:
+    """One reduction of every innermost group; a string without groups stays as it is."""
     s, wrong = state["s"], GRAMMARS[lang].wrong if lang in GRAMMARS else _SH_WRONG
     out = s
     for pattern, to in _REDUCE.get(lang, [(_GROUP, "$1$2$3")]):
         out = F.regexp_replace(out, pattern, to)
-    return F.struct(out.alias("s"), (state["bad"] | F.rlike(s, F.lit(wrong))).alias("bad"))
+    nested = F.rlike(s, F.lit(_OPENERS.get(lang, _ANY_OPEN)))
+    return F.when(nested, F.struct(out.alias("s"), (state["bad"] | F.rlike(s, F.lit(wrong))).alias("bad"))).otherwise(F.struct(s.alias("s"), state["bad"].alias("bad")))
 
 
 def _reduced(lang: str, norm: Column) -> Column:
-    """struct<s, bad>: the class string with every nested group as one symbol; bad: a production failed on the way."""
+    """struct<s, bad>: the class string with every nested group as one symbol; bad: a production failed on the way.
+
+    The productions of the last string are left to the caller, who checks it once.
+    """
     step = lambda st, _: _step(lang, st)
     first = F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), F.struct(norm.alias("s"), F.lit(False).alias("bad")), step)
-    # deeper files: as many further passes as brackets are left
+    opener = F.lit(_OPENERS.get(lang, _ANY_OPEN))
+    # deeper files: as many further passes as groups are left
     return F.aggregate(
         F.array(first),
         F.struct(F.lit("").alias("s"), F.lit(False).alias("bad")),
-        lambda _, st: F.aggregate(
-            F.when(F.rlike(st["s"], F.lit(_OPENERS.get(lang, _ANY_OPEN))) & F.rlike(st["s"], F.lit(_LEFT_OVER.get(lang, r" (?:\)P|\]Q|\}B) "))), F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(st["s"], F.lit(_OPENERS.get(lang, _ANY_OPEN))))))
-            .otherwise(F.array(F.lit(1))),
-            st, step,
-        ),
-    )
+        lambda _, st: F.aggregate(F.slice(F.sequence(F.lit(0), F.regexp_count(st["s"], opener)), F.lit(2), F.regexp_count(st["s"], opener)), st, step),
+    )
 
 
 def _adjacent(norm: Column) -> Column:
@@ -251,7 +253,8 @@ def suspects(files: DataFrame) -> DataFrame:
 
     def faults(lang):
         s = F.col("r.s")
-        f = [F.when(F.col("r.bad"), "production"), F.when(F.rlike(s, F.lit(_LEFT_OVER.get(lang, _ANY_LEFT))), "nesting")]
+        wrong = GRAMMARS[lang].wrong if lang in GRAMMARS else _SH_WRONG
+        f = [F.when(F.col("r.bad") | F.rlike(s, F.lit(wrong)), "production"), F.when(F.rlike(s, F.lit(_LEFT_OVER.get(lang, _ANY_LEFT))), "nesting")]
         if lang in GRAMMARS and GRAMMARS[lang].wrong_end:
             f.append(F.when(F.rlike(s, F.lit(GRAMMARS[lang].wrong_end)), "end"))
         if lang in GRAMMARS and GRAMMARS[lang].wrong_final:
