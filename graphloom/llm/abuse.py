@@ -123,7 +123,7 @@ class Chain:
 
 
 def commonness(toks: DataFrame) -> np.ndarray:
-    """Weight of each feature out of the number of all documents that hold it: 1 for the rare, falling to 0 at a fifth of the documents.
+    """Weight of each feature out of the number of all documents that hold it: 1 for the rare, falling to 0 at 2 % of the documents, though not below 50 of them.
 
     Every document counts; a task sends one count per feature, of which there are 2**BITS.
     """
@@ -144,7 +144,7 @@ def commonness(toks: DataFrame) -> np.ndarray:
     df = np.zeros(1 << BITS)
     own = got[got["f"] >= 0]
     df[own["f"].to_numpy()] = own["n"].to_numpy()
-    most = max(2.0, 0.2 * float(got.loc[got["f"] < 0, "n"].sum()))
+    most = max(50.0, 0.02 * float(got.loc[got["f"] < 0, "n"].sum()))
     return np.clip(np.log(most / np.maximum(df, 1)) / np.log(most), 0, 1)
 
 
