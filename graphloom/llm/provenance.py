@@ -55,18 +55,30 @@ MINIFIED_NAME = r"(?i)[.-]min\.\w+$|\.bundle\.\w+$|\.[0-9a-f]{8,20}\.(?:js|css)$
 
 _COMMENT = r"/\*(?:[^*]|\*(?!/))*+\*/|(?m:^)[ \t]*+(?://|--|#(?![ \t]*(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma|error)\b))[^\n]*+"
 _LITERAL = r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`[^`]*+`|[-+]?(?<![\w$])(?:0[xX][0-9a-fA-F]++|\d[\w.]*+)'
+_LINE, _BLOCK = r"(?://|#|--|;|%|\*)[^\n]*+", r"/\*(?:[^*]|\*(?!/))*+\*/|<!--(?:[^-]|-(?!->))*+-->"
+_LEAD = rf"\A(?:\s++|{_BLOCK}|/\*[^\n]*+|{_LINE}|\"\"\"(?:[^\"\\]|\\(?s:.)|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\\\]|\\\\(?s:.)|'(?!''))*+'''|(?m:<\?(?:php\b|xml\b[^>\n]*+>)|package [\w.]++;?$|[\"']use strict[\"'];?$))*+"
+#: the same from the end, over the reversed text: blocks read alike from both sides
+_TRAIL = r"\A(?:\s++|[^\n]*?(?://|#|--|;|%)[ \t]*+(?=\n|\z)|/\*(?:[^*]|\*(?!/))*+\*/(?=[ \t]*+(?:\n|\z))|>--(?:[^-]|-(?!-!<))*+--!<(?=[ \t]*+(?:\n|\z)))*+"
+_QUOTED_DEFINE = r"(?m)^[ \t]*+#[ \t]*+define\b[^\n\"']*+[\"'][^\n]*+"
+_HAND_LINE = rf"(?m)^[ \t]*+(?:/?\*|//|#|--|;|%)[^\n]*?(?:{HAND_BANNER})"
 _HEAD = r"(?s)^\s*(?:(?:#!|//|#|--|/\*|\*|<!--|;|%)[^\n]*\n?\s*|\"\"\".{0,400}?\"\"\"\s*){0,12}"
 
 
 def features(tree: DataFrame) -> DataFrame:
     """Evidence of each text, computed where the text lies; the text itself goes no further.
 
-    (project, path, code_hash, code_chars, banner, hand, headed, vendor, minified, data)
+    (project, path, code_hash, code_chars, banner, hand, by_hand, headed, vendor, minified, data)
+
+    Banners are read in the comments before the first and behind the last line of code, however long: these
+    speak of the whole file, comments among the code of what they stand at. ``by_hand`` is read in every
+    comment line.
     """
     text = tree.where(F.col("content").isNotNull()).select("project", plain(F.col("path")).alias("path"), decoded(F.col("content")).alias("t"))
     code = text.select("project", "path", "t", F.trim(F.regexp_replace("t", _COMMENT, "")).alias("c"))
     code = code.select("*", F.regexp_replace("c", r"\s++", "").alias("tight"), F.regexp_replace("c", _LITERAL, "").alias("bare"))
     head = F.regexp_extract("t", _HEAD, 0)
+    edges = F.concat_ws("\n", F.regexp_extract("t", _LEAD, 0), F.reverse(F.regexp_extract(F.reverse("t"), _TRAIL, 0)))
+    edges = F.lower(F.regexp_replace(edges, _QUOTED_DEFINE, ""))
     n, lines = F.length("c"), F.regexp_count("c", F.lit(r"(?m)^[ \t]*+\S"))
     spaces = F.length("c") - F.length("tight")
     rest = F.length(F.regexp_replace("bare", r"[\s,;:+\-\[\](){}]++", ""))  # what is neither literal nor list
@@ -75,7 +87,7 @@ def features(tree: DataFrame) -> DataFrame:
     long_line = F.length("c") - F.length(F.regexp_replace("c", r"[^\n]{300,}+", ""))
     out = code.select(
         "project", "path", F.xxhash64("tight").alias("code_hash"), F.length("tight").alias("code_chars"),
-        F.rlike(F.lower(head), F.lit("(?m)" + GENERATED_BANNER)).alias("banner"), F.rlike(F.lower(head), F.lit(HAND_BANNER)).alias("hand"), F.rlike(head, F.lit(r"[A-Za-z]{3}")).alias("headed"), F.rlike(F.lower(head), F.lit("(?m)" + VENDOR_BANNER)).alias("vendor"),
+        F.rlike(edges, F.lit("(?m)" + GENERATED_BANNER)).alias("banner"), F.rlike(edges, F.lit(HAND_BANNER)).alias("hand"), F.rlike(F.lower("t"), F.lit(_HAND_LINE)).alias("by_hand"), F.rlike(head, F.lit(r"[A-Za-z]{3}")).alias("headed"), F.rlike(edges, F.lit("(?m)" + VENDOR_BANNER)).alias("vendor"),
         ((n >= BULK_CHARS) & (n > 140 * lines) & (spaces < 0.10 * n) | (n >= BULK_CHARS) & (long_line > 0.6 * n) & (spaces < 0.08 * n) & ((short_names > 0.3 * names) | (spaces < 0.05 * n))).alias("minified"),
         ((F.length("tight") >= BULK_CHARS) & (rest < 0.06 * F.length("tight") + 60) & (rest < 0.25 * F.length("tight"))).alias("data"),
     )
@@ -118,7 +130,7 @@ def file_evidence(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     tiny = F.coalesce("code_chars", F.lit(1000)) < 60
     unseen = F.col("_f").isNull() & (F.col("bytes") > 300 * F.greatest(F.col("loc"), F.lit(1)))
     e = [
-        _add(F.lit(1.0), _if(yes("hand"), 2.5), _if(yes("headed") & ~yes("banner") & ~yes("vendor"), 1.0), _if(tiny, 2.5)),
+        _add(F.lit(1.0), _if(yes("hand") | yes("by_hand"), 2.5), _if(yes("headed") & ~yes("banner") & ~yes("vendor"), 1.0), _if(tiny, 2.5)),
         _add(_if(yes("banner") & ~yes("hand"), 8.0), _if(F.rlike(name, F.lit(GENERATED_NAME)), 4.5), _if(~yes("banner"), -0.5), _if(tiny, -1.0)),
         _add(_if(yes("minified") & ~yes("data"), 8.0), _if(unseen, 2.0), _if(F.rlike(name, F.lit(MINIFIED_NAME)), 2.0), _if(~yes("minified") & F.col("_f").isNotNull(), -3.0)),
         _add(_if(copy, 8.0), _if(yes("vendor"), 4.5), _if(unique & ~yes("vendor"), -2.5), _if(foreign, 2.5), _if(tiny, -2.0)),

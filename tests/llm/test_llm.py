@@ -174,6 +174,19 @@ def test_provenance(spark):
     assert provenance.provenance(spark.createDataFrame([], NODES), spark.createDataFrame([], TREE)).count() == 0
 
 
+def test_banners_behind_code_and_long_headers(spark):
+    code, licence = "x = 1\n\n\ndef f(a):\n    return a + x\n", "".join(f"# licence line {i}\n" for i in range(40))
+    c = "int f(int a)\n{\n    return a;\n}\n"
+    texts = {
+        "end.py": code + "\n# @generated by relic-schema 6.8.4\n", "below.py": licence + "\n# Code generated by tool v1.2. DO NOT EDIT.\n" + code, "block.c": c + "/*\n * machine generated, see ulnor.grammar\n */\n",
+        "guard.h": "#ifndef A\n" + c + "// Automatisch erzeugt aus a.xsd - nicht von Hand bearbeiten.\n#endif\n", "lib.js": code + "// copied from one v1.2\n",
+        "mark.py": code + "xBanner = 'Code generated by tool v1.2. DO NOT EDIT.'\n", "text.py": code + 'T = """\n# Code generated by tool v1.2. DO NOT EDIT.\n"""\n', "define.c": '#define B "Code generated by tool v1.2. DO NOT EDIT."\n' + c, "kept.py": code + "# @generated once, maintained by hand since\n", "amid.py": code + "# maintained by hand\n" + code,
+    }
+    got = {r.path: (r.banner, r.vendor, r.hand, r.by_hand) for r in provenance.features(spark.createDataFrame([("p", f, t.encode(), len(t), False, None) for f, t in texts.items()], TREE)).collect()}
+    no = (False, False, False, False)
+    assert got == {f: (True, *no[1:]) for f in ("end.py", "below.py", "block.c", "guard.h")} | {f: no for f in ("mark.py", "text.py", "define.c")} | {"lib.js": (False, True, False, False), "kept.py": (True, False, True, True), "amid.py": (False, False, False, True)}
+
+
 def test_beliefs_are_exact(spark):
     """The messages give the same marginals as the sum over all labellings."""
     import numpy as np
