@@ -42,6 +42,13 @@ def p5_pairs(spark, d):
     return out.withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
 
 
+def p5_all_pairs(spark, d):
+    """Every pair that occurs, with the verdict of the log-likelihood ratio at 0.1 %."""
+    out = terms.co_occurrence(table(spark, d, "nodes"), min_joint=1, min_share=None, min_lift=0.0)
+    out = out.withColumns({"lift": F.round("lift", 6), "llr": F.round(F.greatest("llr", F.lit(0.0)), 4)})
+    return out.withColumn("significant", F.col("llr") >= terms.LLR_SIGNIFICANT)
+
+
 def p7_ids(spark, d):
     return tokens.encode(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -67,7 +74,7 @@ def p9_rates(spark, d):
     return abuse.abuse_rates(table(spark, d, "documents").select("doc_id", "text", "source"), table(spark, d, "abuse_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_terms, p4_found, p4_labels, p5_found, p5_pairs, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_terms, p4_found, p4_labels, p5_found, p5_pairs, p5_all_pairs, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_rates)}
 
 _WS = r"[\s\pZ\x0b\x{1c}-\x{1f}\x{85}]+"
 _RECORDS = f"""
@@ -82,6 +89,7 @@ _PAIRS = f"""
 WITH {_RECORDS.strip()},
 k AS (SELECT x.name AS name_a, y.name AS name_b, count(*) AS k_ab FROM tf x JOIN tf y ON x.project = y.project AND x.id = y.id AND x.name < y.name GROUP BY ALL),
 p AS (SELECT k.*, a.n_records AS k_a, b.n_records AS k_b, n.n FROM k JOIN df a ON a.name = name_a JOIN df b ON b.name = name_b, n WHERE k_ab >= 5 AND 2000 * k_ab >= n.n)"""
+_ALL_PAIRS = _PAIRS.removesuffix(" WHERE k_ab >= 5 AND 2000 * k_ab >= n.n)") + ")"
 _H = "(CASE WHEN {0} > 0 THEN ({0})::DOUBLE * ln({0}) ELSE 0 END)"
 _LLR = "2 * (" + " + ".join(_H.format(x) for x in ("k_ab", "(k_a - k_ab)", "(k_b - k_ab)", "(n - k_a - k_b + k_ab)")) + " - " + " - ".join(_H.format(x) for x in ("k_a", "(n - k_a)", "k_b", "(n - k_b)")) + " + " + _H.format("n") + ")"
 
@@ -91,4 +99,5 @@ SQL = {
     "p2_terms": f"WITH {_RECORDS.strip()} SELECT name, occurrences, n_records, n_records / n AS share, n_records < 3 AS is_rare, n_records * 100 > n * 5 AS is_common FROM df, n",
     "p5_found": f"{_PAIRS} SELECT name_a, name_b FROM p WHERE k_ab * n >= 30 * k_a * k_b",
     "p5_pairs": f"{_PAIRS} SELECT name_a, name_b, k_a, k_b, k_ab, n, round(k_ab::DOUBLE * n / (k_a::DOUBLE * k_b), 6) AS lift, round({_LLR}, 4) AS llr FROM p WHERE k_ab * n >= 1 * k_a * k_b",
+    "p5_all_pairs": f"{_ALL_PAIRS} SELECT *, llr >= 10.828 AS significant FROM (SELECT name_a, name_b, k_a, k_b, k_ab, n, round(k_ab::DOUBLE * n / (k_a::DOUBLE * k_b), 6) AS lift, round(greatest({_LLR}, 0), 4) AS llr FROM p)",
 }

@@ -71,6 +71,8 @@ def marked_terms(nodes: DataFrame, rare_below: int = 3, common_percent: float =
 
 # --- co-occurrence ---------------------------------------------------------------------------------
 
+#: Log-likelihood ratio from which a pair is no chance: chi square of one degree of freedom at 0.1 %.
+LLR_SIGNIFICANT = 10.828
 _STRIPE = "a int, part int, neighbours array<int>, counts array<bigint>"
 
 
@@ -128,11 +130,23 @@ def _xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
 
 
-def co_occurrence(nodes: DataFrame, min_joint: int = 5, min_share: int = 2000, min_lift: float = 30.0, parts: int = 16) -> DataFrame:
+def _numbered(names: DataFrame) -> DataFrame:
+    """(item, name, k): names numbered from 0 by code points, over sorted ranges; the driver sees a count per range."""
+    ranges = materialise(names.orderBy("name").withColumn("_m", F.monotonically_increasing_id()), "ranges")
+    part, row = F.shiftright("_m", 33).cast("int"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, {}
+    for r in sorted(ranges.groupBy(part.alias("part")).count().collect()):
+        starts[r["part"]], before = before, before + r["count"]
+    start = F.array(*[F.lit(starts.get(p, 0)) for p in range(max(starts, default=0) + 1)])
+    return materialise(ranges.select((start[part] + row).cast("int").alias("item"), "name", "k"), "names")
+
+
+def co_occurrence(nodes: DataFrame, min_joint: int = 5, min_share: int | None = 2000, min_lift: float = 30.0, parts: int = 16) -> DataFrame:
     """(name_a, name_b, k_a, k_b, k_ab, n, lift, llr) for the pairs of names that share enough records.
 
     A pair comes out where k_ab >= ``min_joint``, ``min_share`` * k_ab >= n and
-    k_ab * n >= ``min_lift`` * k_a * k_b; n counts the records with at least one
+    k_ab * n >= ``min_lift`` * k_a * k_b (``min_share`` None: no such bound; with
+    ``min_joint`` 1 and ``min_lift`` 0 every pair that occurs comes out); n counts the records with at least one
     name, ``llr`` is Dunning's log-likelihood ratio of the 2 x 2 table. The
     smaller name (by code points) comes first. Nulls, blanks and repeats within a
     record count for nothing, an empty table gives no rows.
@@ -143,7 +157,8 @@ def co_occurrence(nodes: DataFrame, min_joint: int = 5, min_share: int = 2000, m
     case is lost: k_ab cannot exceed k_a or k_b, hence both must reach the joint
     minimum; and k_ab <= min(k_a, k_b) gives max(k_a, k_b) * min_lift <= n, so the
     hottest names drop out before any pair is made. The first leaves at most
-    min_share names per average list length, whatever the size of the collection.
+    min_share names per average list length, whatever the size of the collection,
+    and every name where there are no bounds.
     """
     named = (
         records(nodes)
@@ -153,11 +168,8 @@ def co_occurrence(nodes: DataFrame, min_joint: int = 5, min_share: int = 2000, m
     named = materialise(named, "named")
     n = named.count()
     counts = named.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("k"))
-    kept = counts.where((F.col("k") >= min_joint) & (F.col("k") * min_share >= n) & (F.col("k") * F.lit(float(min_lift)) <= n))
-    # at most min_share * mean list length names are left: one task numbers them by code points
-    from pyspark.sql import Window
-
-    names = materialise(kept.select((F.row_number().over(Window.orderBy("name")) - 1).cast("int").alias("item"), "name", "k"), "names")
+    often = lambda c: (c >= min_joint) & (F.lit(True) if min_share is None else c * min_share >= n)
+    names = _numbered(counts.where(often(F.col("k")) & (F.col("k") * F.lit(float(min_lift)) <= n)))
     baskets = (
         named.withColumn("_r", F.monotonically_increasing_id())
         .select("_r", F.explode("names").alias("name"))
@@ -171,7 +183,7 @@ def co_occurrence(nodes: DataFrame, min_joint: int = 5, min_share: int = 2000, m
     merged = stripes.groupBy("a", "part").applyInPandas(_merge_stripes, _STRIPE)
     whole = merged.withColumn("part", F.lit(0)).groupBy("a", "part").applyInPandas(_merge_stripes, _STRIPE)
     pairs = whole.select("a", F.explode(F.arrays_zip("neighbours", "counts")).alias("x")).select("a", F.col("x.neighbours").alias("b"), F.col("x.counts").alias("k_ab"))
-    pairs = pairs.where((F.col("k_ab") >= min_joint) & (F.col("k_ab") * min_share >= n))
+    pairs = pairs.where(often(F.col("k_ab")))
     a, b = names.select(F.col("item").alias("a"), F.col("name").alias("name_a"), F.col("k").alias("k_a")), names.select(F.col("item").alias("b"), F.col("name").alias("name_b"), F.col("k").alias("k_b"))
     pairs = pairs.join(a, "a").join(b, "b").where(F.col("k_ab") * n >= F.lit(float(min_lift)) * F.col("k_a") * F.col("k_b"))
     k, ka, kb, t = (F.col(c).cast("double") for c in ("k_ab", "k_a", "k_b", "n"))

@@ -47,6 +47,17 @@ def test_co_occurrence(spark):
     assert terms.co_occurrence(spark.createDataFrame([], NODES)).count() == 0
 
 
+def test_every_pair(spark, tmp_path):
+    from graphloom.llm.queries import p5_all_pairs
+
+    rows = [node("p", f"f{i}", [f"n{i}", f"m{i}", "hot"] + (["x", "y"] if i % 10 == 0 else [])) for i in range(60)]
+    spark.createDataFrame(rows, NODES).write.parquet(f"{tmp_path}/nodes.parquet")
+    got = {(r.name_a, r.name_b): (r.k_a, r.k_b, r.k_ab, r.significant) for r in p5_all_pairs(spark, str(tmp_path)).collect()}
+    sets = [set(r[7]) for r in rows]
+    assert set(got) == {(a, b) for s in sets for a, b in itertools.combinations(sorted(s), 2)}
+    assert got["x", "y"] == (6, 6, 6, True) and got["hot", "x"] == (60, 6, 6, False) and got["m1", "n1"] == (1, 1, 1, False)
+
+
 # --- tokens and packing ----------------------------------------------------------------------------------
 
 TEXTS = [None, "", " ", "Hello  world\n\nit's 12x", "don't\u00a0stop\u2028now", "日本語のテキスト。", "é\u0301 ñ 🙂🙃", "<|endoftext|> x", "a" * 5000, "word " * 20000, "\ufffd\x00\x1c\x85 tab\t\tend ", "Приве́т, мир"]
