@@ -59,7 +59,10 @@ def blast_radius(edges: DataFrame, subject: DataFrame, depth: int = DEPTH_DEFAUL
     by themselves. Each level joins the frontier with the edges and drops what
     is known; the known set only grows by distinct files, never by paths.
     """
-    depth = max(1, min(DEPTH_MAX, depth))
+    return _walk(edges, subject, max(1, min(DEPTH_MAX, depth)))
+
+
+def _walk(edges: DataFrame, subject: DataFrame, depth: int) -> DataFrame:
     rev = edges.select("project", F.col("target").alias("id"), F.col("source").alias("_next"))
     deep = depth > 4  # a short walk is one lazy plan; a deep one is cut at every level and ends with its frontier
     if deep:
@@ -79,7 +82,8 @@ def blast_radius(edges: DataFrame, subject: DataFrame, depth: int = DEPTH_DEFAUL
 
 def blast_by_depth(edges: DataFrame, subject: DataFrame, depth: int = DEPTH_DEFAULT) -> DataFrame:
     """(depth, files, stopped_at_depth): the last is true where files lie beyond the deepest level asked for."""
-    wide = blast_radius(edges, subject, min(depth + 1, DEPTH_MAX))
+    depth = max(1, min(DEPTH_MAX, depth))
+    wide = _walk(edges, subject, depth + 1)
     beyond = wide.where(F.col("depth") > depth).agg(F.count(F.lit(1)) > 0).scalar()
     return wide.where(F.col("depth") <= depth).groupBy("depth").agg(F.count(F.lit(1)).alias("files")).select("depth", "files", beyond.alias("stopped_at_depth"))
 

@@ -105,6 +105,12 @@ def test_questions(spark):
     assert handle(atlas, '{"method": "x"}') is None
 
 
+def test_chain_beyond_the_deepest_walk(spark):
+    n, e = nodes_edges(spark, [(f"{k + 1}.ts", f"{k}.ts") for k in range(34)])
+    levels = graph.blast_by_depth(e, n.where("id = '0.ts'"), 32).collect()
+    assert sorted(r.depth for r in levels) == [*range(1, 33)] and all(r.stopped_at_depth for r in levels)
+
+
 def test_locate_and_labels(spark):
     n, _ = nodes_edges(spark, [("a/index.ts", "b/index.ts"), ("index.ts", "x/b/index.ts"), ("c.ts", "c.ts")])
     assert [(r.id, r.rule) for r in graph.locate(n, "index.ts").collect()] == [("index.ts", 1)]
