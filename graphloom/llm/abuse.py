@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.shared import materialise
@@ -19,6 +21,8 @@ BITS = 18
 #: The classifier is fitted on at most this many labelled documents (those with the least hash of their id).
 MAX_LABELLED = 20_000
 FOLDS = 4
+#: Weight of a feature that every document holds.
+LEAST_WEIGHT = 0.02
 
 # --- fixed values: seed cues of each category in en, de, fr, es, ru, ja --------------------------------
 CUES = {
@@ -34,33 +38,97 @@ LEET = ("013457@$!", "oieastasi")
 INVISIBLE = "[­​-‏‪-‮⁠﻿̀-ͯ]"
 # --- end of fixed values -------------------------------------------------------------------------------
 
-_STOP = ".!?…。！？\n"
-_TOKEN = r"[a-z]++(?![\p{L}*])|\p{L}\*{2,}\p{L}*|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]|[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]++|[.!?…](?=\s|\z)|[。！？\n]"
-_SPACED = r"(?<!\p{L})\p{L}(?:[.\-_ ]{1,2}\p{L}(?!\p{L})){2,}+"
+_LETTER = r"[^\W\d_]"
+_CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+_PIECE = re.compile(rf"[^\s{_CJK}。！？]+|[{_CJK}。！？\n]")
+_WORD = re.compile(rf"[a-z]+(?!{_LETTER}|\*)|{_LETTER}\*{{2,}}{_LETTER}*|{_LETTER}+|[.!?…]$")
+_APART = re.compile(rf"(?<!{_LETTER}){_LETTER}(?:[.\-_ ]{{1,2}}{_LETTER}(?!{_LETTER})){{2,}}")
+_INVISIBLE = re.compile(INVISIBLE)
+_LEET = re.compile(rf"{_LETTER}[{re.escape(LEET[0])}]+{_LETTER}|(?<!\w)[1345@$]{_LETTER}")
+_TO_LATIN, _FROM_LEET = str.maketrans(*HOMOGLYPHS), str.maketrans(*LEET)
+_TO_CYRILLIC = str.maketrans("aeopcyx", "аеорсух")
+_CYRILLIC = re.compile("[бвгдзийклмнптфцчшщъыьэюя]")
+_RUN = re.compile(rf"{_LETTER}+")
+_REPEAT = re.compile(rf"({_LETTER})\1+")
+#: distinct words that a worker remembers; beyond that it starts anew
+MEMO = 500_000
 
 
 def _squeeze(word: str) -> str:
     """The word as it reads after repeated letters are squeezed."""
-    return re.sub(r"([^\W\d_])\1+", r"\1", word)
+    return _REPEAT.sub(r"\1", word)
 
 
-def plain_text(text: Column) -> Column:
-    """Lower case with disguises undone: invisible marks, look-alikes, leet, letters spaced or dotted apart, repeats."""
-    t = F.lower(F.regexp_replace(text, INVISIBLE, ""))
-    # look-alikes only in words that also hold Latin letters
-    mixed = F.rlike(t, F.lit(f"[a-z][{HOMOGLYPHS[0]}]|[{HOMOGLYPHS[0]}][a-z]"))
-    t = F.when(mixed & ~F.rlike(t, F.lit("[бвгдзйклмптфцчшщъыьэюя]{3}")), F.translate(t, *HOMOGLYPHS)).otherwise(t)
-    leet = F.rlike(t, F.lit(r"\p{L}[013457@$!]+\p{L}|(?<!\w)[1345@$]\p{L}"))
-    t = F.when(leet, F.translate(F.regexp_replace(F.regexp_replace(t, r"(?m)^\w{2,20}\d+: |(?<![\p{L}@$])\d+(?!\p{L})", " "), r"!(?=\s|$)", "."), *LEET)).otherwise(t)
-    # letters apart: their separators go, two blanks or a longer gap part words
-    t = F.when(F.rlike(t, F.lit(_SPACED)), F.regexp_replace(F.regexp_replace(t, r"(?<=(?<!\p{L})\p{L})[.\-_]{1,2}(?=\p{L}(?!\p{L}))", ""), r"(?<=(?<!\p{L})\p{L}) (?=\p{L} \p{L}(?!\p{L}))|(?<=(?<!\p{L})\p{L} \p{L}) (?=\p{L}(?!\p{L}))", "")).otherwise(t)
-    return F.regexp_replace(t, r"(\p{L})\1++", "$1")
+def _one_script(m: re.Match) -> str:
+    """A word of mixed letters in the script that its unambiguous letters have."""
+    w = m.group()
+    if w.isascii() or not re.search("[a-z]", w):
+        return w
+    return w.translate(_TO_CYRILLIC if _CYRILLIC.search(w) else _TO_LATIN)
+
+
+def _together(m: re.Match) -> str:
+    """Letters set apart as one word; two blanks part words."""
+    return " ".join(re.sub(r"[.\-_ ]", "", part) for part in m.group().split("  "))
+
+
+def plain_word(piece: str) -> str:
+    """A blank-free piece of lower-case text with disguises undone: invisible marks, look-alikes, leet, repeats."""
+    if not piece.isascii():
+        piece = _RUN.sub(_one_script, _INVISIBLE.sub("", piece))
+    if _LEET.search(piece) and not re.fullmatch(r"\w{2,20}\d:", piece):
+        core = piece.rstrip("!.?…,;:")
+        piece = core.translate(_FROM_LEET) + piece[len(core) :].replace("!", ".")
+    return _squeeze(piece)
+
+
+def _code(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) - 2**31 or 1
+
+
+#: follows every word whose inner letters are masked
+_MASKED = _code("**")
+
+
+class _Memo(dict):
+    """Tokens of each distinct piece: it is read once per worker, however often it occurs."""
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= MEMO:
+            self.clear()
+        if piece in "\n。！？":
+            out = (0,)
+        else:
+            out = tuple(c for w in _WORD.findall(plain_word(piece)) for c in (0 if w in ".!?…" else _code(w), *([_MASKED] if "*" in w else ())))
+        self[piece] = out
+        return out
+
+
+_memo = _Memo()
+
+
+def word_codes(text: str) -> list[int]:
+    """Codes of the words of a text in order, 0 between sentences and lines; a word repeated at once counts once."""
+    text = text.lower()
+    memo = _memo
+    out = [c for p in _PIECE.findall(_APART.sub(_together, text)) for c in memo[p]]
+    return [c for c, last in zip(out, [0, *out]) if c != last or not c]
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, toks) of every non-null text: hashes of its words in order, 0 between sentences and lines."""
-    words = F.regexp_extract_all(plain_text(F.col("text")), F.lit(_TOKEN), F.lit(0))
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.transform(words, lambda w: F.when((F.length(w) == 1) & w.isin(*_STOP), F.lit(0)).otherwise(F.hash(w))).alias("toks"))
+    """(doc_id, toks) of every non-null text: codes of its words in order, 0 between sentences and lines.
+
+    One splitting pass over the text; disguises are undone on distinct words.
+    """
+
+    def run(batches):
+        for b in batches:
+            got = [word_codes(t) for t in b.column("text").to_pylist()]
+            at = np.cumsum([0, *map(len, got)])
+            flat = np.fromiter(itertools.chain.from_iterable(got), np.int64, at[-1]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["doc_id", "toks"])
+
+    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc_id bigint, toks array<int>")
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,43 +138,89 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _grams(toks: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, segment) of words and runs of two and three words, and the document of each segment."""
+@dataclass
+class Cues:
+    """Seed cues by the full hash of their last run of words; a bitmap sorts out nearly all features first."""
+
+    near: np.ndarray  # 2**BITS flags
+    hashes: np.ndarray  # sorted
+    bits: np.ndarray  # categories of each, one bit a category
+
+    def of(self, full: np.ndarray, feats: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(full), np.uint8)
+        some = np.flatnonzero(self.near[feats])
+        at = np.minimum(np.searchsorted(self.hashes, full[some]), len(self.hashes) - 1)
+        hit = self.hashes[at] == full[some]
+        out[some[hit]] = self.bits[at[hit]]
+        return out
+
+
+@dataclass
+class Grams:
+    """Words and runs of two and three words of segments (sentences or lines)."""
+
+    flat: np.ndarray  # feature of each
+    of: np.ndarray  # its segment
+    doc: np.ndarray  # document of each segment
+    cues: np.ndarray | None = None  # categories of each feature, one bit a category
+    told: np.ndarray | None = None  # whether it shares a word with a cue
+
+    @property
+    def n(self) -> int:
+        return len(self.doc)
+
+
+_MASK = np.uint64((1 << BITS) - 1)
+
+
+def _runs(t: np.ndarray, g: np.ndarray):
+    """Full hashes of words, pairs and triples; which pairs and triples lie in one segment."""
+    one = _mix(t.astype(np.int64).view(np.uint64), np.zeros(len(t), np.uint64))
+    same2 = g[1:] == g[:-1]
+    two = _mix(one[:-1], one[1:])
+    return one, two, _mix(two[:-1], one[2:]), same2, same2[1:] & same2[:-1]
+
+
+def _grams(toks: np.ndarray, doc: np.ndarray, known: Cues | None = None) -> Grams:
     keep = toks != 0
     new = np.r_[True, (doc[1:] != doc[:-1]) | ~keep[:-1]] if len(toks) else np.zeros(0, bool)
     seg = np.cumsum(new) - 1
-    t, g, d = toks[keep].astype(np.int64).view(np.uint64), seg[keep], doc[keep]
+    t, g, d = toks[keep], seg[keep], doc[keep]
     if not len(t):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, doc.dtype)
+        none = np.zeros(0, np.int64)
+        return Grams(none, none, np.zeros(0, doc.dtype), np.zeros(0, np.uint8), np.zeros(0, bool))
     _, first, g = np.unique(g, return_index=True, return_inverse=True)
-    one = _mix(t, np.uint64(0) * t)
-    same2 = g[1:] == g[:-1]
-    two = _mix(one[:-1], one[1:])
-    same3 = same2[1:] & same2[:-1]
-    three = _mix(two[:-1], one[2:])
-    mask = np.uint64((1 << BITS) - 1)
-    feats = np.concatenate([one, two[same2], three[same3]]) & mask
-    return feats.astype(np.int64), np.concatenate([g, g[1:][same2], g[2:][same3]]), d[first]
+    one, two, three, same2, same3 = _runs(t, g)
+    full = np.concatenate([one, two[same2], three[same3]])
+    feats = (full & _MASK).astype(np.int64)
+    out = Grams(feats, np.concatenate([g, g[1:][same2], g[2:][same3]]), d[first])
+    if known is not None:
+        out.cues = known.of(full, feats)
+        own = out.cues[: len(one)] > 0
+        starts = (np.flatnonzero(same2), np.flatnonzero(same3))
+        ends = len(one) + len(starts[0])
+        for width, at, hit in ((2, starts[0], out.cues[len(one) : ends]), (3, starts[1], out.cues[ends:])):
+            for k in range(width):
+                own[at[hit > 0] + k] = True
+        out.told = np.concatenate([own, (own[1:] | own[:-1])[same2], (own[2:] | own[1:-1] | own[:-2])[same3]])
+    return out
 
 
-def cue_table(spark) -> np.ndarray:
-    """2**BITS x 4: which feature is a seed cue of which category; also with all but the outer letters masked."""
-    rows = []
+def seed_cues() -> Cues:
+    """The cues of all categories; also with all but the outer letters masked. Of longer cues the first three words count."""
+    found: dict[int, int] = {}
     for k, c in enumerate(CHAIN[:-1]):
         for cue in CUES[c]:
-            if ord(cue[0]) >= 0x3000:
-                rows.append((k, " ".join(_squeeze(cue))))
-                continue
-            rows.append((k, _squeeze(cue)))
+            forms = [word_codes(cue)[:3]]
             if " " not in cue and len(cue) > 3 and cue[0] < "\u0250":
-                rows.append((k, f"{cue[0]}{'*' * (len(cue) - 2)}{cue[-1]}"))
-    hashed = spark.createDataFrame(rows, "k int, cue string").select("k", F.transform(F.split("cue", " "), lambda w: F.hash(w)).alias("h")).collect()
-    out = np.zeros((1 << BITS, 4), bool)
-    for k, h in hashed:
-        n = min(len(h), 3)
-        f, _, _ = _grams(np.array(h[:n]), np.zeros(n, np.int64))
-        out[f[-1], k] = True
-    return out
+                forms.append([_code(f"{cue[0]}{'*' * (len(cue) - 2)}{cue[-1]}")])
+            for codes in forms:
+                h = int(_runs(np.array(codes), np.zeros(len(codes), np.int64))[len(codes) - 1][-1])
+                found[h] = found.get(h, 0) | 1 << k
+    hashes = np.array(sorted(found), np.uint64)
+    near = np.zeros(1 << BITS, bool)
+    near[(hashes & _MASK).astype(np.int64)] = True
+    return Cues(near, hashes, np.array([found[int(h)] for h in hashes], np.uint8))
 
 
 @dataclass
@@ -118,12 +232,12 @@ class Chain:
     before: np.ndarray  # links x links
     bias: np.ndarray
     threshold: float = 0.2
-    table: np.ndarray | None = None  # of the cues
+    known: Cues | None = None
     rare: np.ndarray | None = None  # weight of each feature
 
 
 def commonness(toks: DataFrame) -> np.ndarray:
-    """Weight of each feature out of the number of all documents that hold it: 1 for the rare, falling to 0 at 2 % of the documents, though not below 50 of them.
+    """Weight of each feature out of the share of all documents that hold it: 1 for the rare, falling with the square of its inverse document frequency to ``LEAST_WEIGHT``, never 0.
 
     Every document counts; a task sends one count per feature, of which there are 2**BITS.
     """
@@ -133,10 +247,10 @@ def commonness(toks: DataFrame) -> np.ndarray:
         for b in batches:
             col = b.column("toks")
             sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-            flat, of, seg_doc = _grams(pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes))
+            g = _grams(pc.list_flatten(col).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes))
             n += len(sizes)
-            if len(flat):
-                total += np.bincount(np.unique(flat * np.int64(len(sizes)) + seg_doc[of]) // len(sizes), minlength=1 << BITS)
+            if g.n:
+                total += np.bincount(np.unique(g.flat * np.int64(len(sizes)) + g.doc[g.of]) // len(sizes), minlength=1 << BITS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1], pa.int32()), pa.array(np.r_[total[some], n], pa.int64())], ["f", "n"])
 
@@ -144,30 +258,38 @@ def commonness(toks: DataFrame) -> np.ndarray:
     df = np.zeros(1 << BITS)
     own = got[got["f"] >= 0]
     df[own["f"].to_numpy()] = own["n"].to_numpy()
-    most = max(50.0, 0.02 * float(got.loc[got["f"] < 0, "n"].sum()))
-    return np.clip(np.log(most / np.maximum(df, 1)) / np.log(most), 0, 1)
+    n = max(2.0, float(got.loc[got["f"] < 0, "n"].sum()))
+    return np.clip((np.log(n / np.maximum(df, 1)) / np.log(n)) ** 2, LEAST_WEIGHT, 1)
 
 
 class _Rows:
     """Sparse rows: features with the row they belong to, in row order."""
 
-    def __init__(self, flat: np.ndarray, of: np.ndarray, n: int, table: np.ndarray, rare: np.ndarray):
-        order = np.argsort(of, kind="stable")
-        self.n, self.flat, self.of = n, flat[order], of[order]
-        self.lengths = np.bincount(self.of, minlength=n)
-        self.scale = 1 / np.sqrt(np.maximum(self.lengths, 1))
-        self.cues = np.stack([np.bincount(self.of, table[self.flat, k], n) > 0 for k in range(4)], 1).astype(float)
-        told = rare[self.flat] > 0  # common features say nothing
-        self.flat, self.of = self.flat[told], self.of[told]
+    def __init__(self, g: Grams, rare: np.ndarray):
+        order = np.argsort(g.of, kind="stable")
+        self.n = n = g.n
+        self.flat, self.of = g.flat[order], g.of[order]
+        self.scale = 1 / np.sqrt(np.maximum(np.bincount(self.of, minlength=n), 1))
+        bits = g.cues[order]
+        self.cues = np.stack([np.bincount(self.of, bits >> k & 1, n) > 0 for k in range(4)], 1).astype(float)
         self.value = rare[self.flat]
+        #: the same without what shares a word with a cue
+        self.other = np.where(g.told[order], 0.0, self.value)
 
     def take(self, keep: np.ndarray) -> _Rows:
         out = object.__new__(_Rows)
         to = np.full(self.n, -1)
         to[keep] = np.arange(len(keep))
         own = to[self.of] >= 0
-        out.n, out.flat, out.of, out.value = len(keep), self.flat[own], to[self.of[own]], self.value[own]
-        out.lengths, out.scale, out.cues = self.lengths[keep], self.scale[keep], self.cues[keep]
+        out.n, out.flat, out.of, out.value, out.other = len(keep), self.flat[own], to[self.of[own]], self.value[own], self.other[own]
+        out.scale, out.cues = self.scale[keep], self.cues[keep]
+        return out
+
+    def withheld(self) -> _Rows:
+        """Rows whose cues are hidden."""
+        out = object.__new__(_Rows)
+        out.__dict__.update(self.__dict__)
+        out.value, out.cues = self.other, np.zeros((self.n, 0))
         return out
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -198,31 +320,38 @@ def _fit(x: _Rows, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, steps:
 
 
 def _fit_chain(all_rows: _Rows, keep, target, weight, fold) -> Chain:
-    """Links in order; a later link sees the earlier ones' probabilities as predicted by models of the other folds."""
+    """Links in order; a later link sees the earlier ones' probabilities as predicted by models of the other folds.
+
+    The cues vote for the categories and are hidden from their links, which learn from the words around them; the last link sees all.
+    """
     x = all_rows.take(keep)
     k = len(CHAIN)
     out = Chain(np.zeros((k, 1 << BITS)), np.zeros((k, 4)), np.zeros((k, k)), np.zeros(k))
     probs = np.zeros((len(keep), 0))
     for j in range(k):
-        y = target[:, j]
-        dense = np.hstack([x.cues, probs])
-        w, v, b = _fit(x, dense, y, weight)
-        out.words[j], out.cues[j], out.before[j, :j], out.bias[j] = w, v[:4], v[4:], b
+        y, own = target[:, j], x if j == k - 1 else x.withheld()
+        dense = np.hstack([own.cues, probs])
+        w, v, b = _fit(own, dense, y, weight)
+        c = own.cues.shape[1]
+        out.words[j], out.cues[j, :c], out.before[j, :j], out.bias[j] = w, v[:c], v[c:], b
         if j < k - 1:
             oof = np.zeros(len(keep))
             for f in range(FOLDS):
                 tr, te = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 if len(tr) and len(te):
-                    wf, vf, bf = _fit(x.take(tr), dense[tr], y[tr], weight[tr], steps=30)
-                    oof[te] = _sigmoid(x.take(te).dot(wf) + dense[te] @ vf + bf)
+                    wf, vf, bf = _fit(own.take(tr), dense[tr], y[tr], weight[tr], steps=30)
+                    oof[te] = _sigmoid(own.take(te).dot(wf) + dense[te] @ vf + bf)
             probs = np.hstack([probs, oof[:, None]])
     return out
 
 
 def _predict(words, cues, before, bias, x: _Rows) -> np.ndarray:
-    p = np.zeros((x.n, len(CHAIN)))
+    """Probabilities of all links; those of the categories then also count the cues of what is abusive."""
+    p, hidden = np.zeros((x.n, len(CHAIN))), x.withheld()
     for j in range(len(CHAIN)):
-        p[:, j] = _sigmoid(x.dot(words[j]) + x.cues @ cues[j] + p[:, :j] @ before[j, :j] + bias[j])
+        last = j == len(CHAIN) - 1
+        p[:, j] = _sigmoid((x if last else hidden).dot(words[j]) + (x.cues @ cues[j] if last else 0) + p[:, :j] @ before[j, :j] + bias[j])
+    p[:, :4] = 1 - (1 - p[:, :4]) * (1 - x.cues * p[:, 4:])
     return p
 
 
@@ -231,8 +360,8 @@ def train(toks: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     Votes of 0 and 1 are averaged per document, null votes are left out, ties
     are not used, repeated rows count once. The categories have no labels of
-    their own: within abusive documents a segment carries the categories of its
-    seed cues. Which segments of such a document are the abusive ones is settled by
+    their own: within abusive documents the seed cues vote for a segment's categories,
+    and the links of the categories learn from the words around the cues. Which segments of such a document are the abusive ones is settled by
     alternation: fit, pick the segments that the fit finds abusive (at least
     the likeliest one), fit again. Without labels of both kinds the seed cues alone decide.
     """
@@ -241,20 +370,18 @@ def train(toks: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     chosen = materialise(votes, "votes")
     rows = toks.join(chosen, "doc_id").toPandas()
     k = len(CHAIN)
-    table, rare = cue_table(toks.sparkSession), commonness(toks)
+    known, rare = seed_cues(), commonness(toks)
     seeds = Chain(np.zeros((k, 1 << BITS)), np.zeros((k, 4)), np.zeros((k, k)), np.full(k, -2.0))
-    for j in range(4):
-        seeds.cues[j, j] = 5.0
-        seeds.cues[4, j] = 4.0
-    seeds.table, seeds.rare = table, rare
+    seeds.cues[4] = 4.0
+    seeds.known, seeds.rare = known, rare
     if rows.empty or rows["y"].lt(0.5).all() or rows["y"].gt(0.5).all():
         return seeds
     rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
     sizes = rows["toks"].map(len).to_numpy()
-    flat, of, seg_doc = _grams(np.concatenate([np.asarray(t, np.int64) for t in rows["toks"]]), np.repeat(np.arange(len(rows)), sizes))
-    x = _Rows(flat, of, len(seg_doc), table, rare)
-    doc = rows["doc_id"].to_numpy()[seg_doc]
-    y = rows["y"].to_numpy()[seg_doc] > 0.5
+    g = _grams(np.concatenate([np.asarray(t, np.int64) for t in rows["toks"]]), np.repeat(np.arange(len(rows)), sizes), known)
+    x = _Rows(g, rare)
+    doc = rows["doc_id"].to_numpy()[g.doc]
+    y = rows["y"].to_numpy()[g.doc] > 0.5
     fold_of = (doc * 2654435761 % 2**32 // 7) % FOLDS
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(doc)]))
@@ -270,7 +397,7 @@ def train(toks: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         own = weight[keep] * np.where(picked[keep], 4.0, 1.0)
         if turn == 2:
             model = _fit_chain(x, keep, target, own, fold_of[keep])
-            model.table, model.rare = table, rare
+            model.known, model.rare = known, rare
             return model
         # the documents' segments as models of the other folds see them, else a picked segment confirms itself
         p = np.zeros(len(doc))
@@ -292,17 +419,18 @@ def score(docs: DataFrame, toks: DataFrame, model: Chain) -> DataFrame:
     read. Equal doc_ids share a row.
     """
     # some 2**BITS weights a link, whatever the corpus
-    held = docs.sparkSession.sparkContext.broadcast((model.words, model.cues, model.before, model.bias, model.table, model.rare))
+    held = docs.sparkSession.sparkContext.broadcast((model.words, model.cues, model.before, model.bias, model.known, model.rare))
 
     def run(batches):
         for b in batches:
             toks, ids = b.column("toks"), b.column("doc_id")
             sizes = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False)
-            flat, of, seg_doc = _grams(pc.list_flatten(toks).to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes))
-            if not len(seg_doc):
+            *m, known, rare = held.value
+            g = _grams(pc.list_flatten(toks).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes), known)
+            if not g.n:
                 continue
-            *m, table, rare = held.value
-            p = _predict(*m, _Rows(flat, of, len(seg_doc), table, rare))
+            seg_doc = g.doc
+            p = _predict(*m, _Rows(g, rare))
             starts = np.flatnonzero(np.r_[True, seg_doc[1:] != seg_doc[:-1]])
             top = np.maximum.reduceat(p, starts, axis=0)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(seg_doc[starts])), *[pa.array(top[:, j]) for j in range(len(CHAIN))]], ["doc_id", *CHAIN])

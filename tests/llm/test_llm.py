@@ -5,6 +5,7 @@ import datetime
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,10 +220,19 @@ def test_beliefs_are_exact(spark):
 # --- abuse -----------------------------------------------------------------------------------------------
 
 
-def test_disguises(spark):
-    said = ["You i.d.i.o.t", "s-t-u-p-i-d", "st\u200bupid", "iiidiot", "1d10t", "\u0456di\u043et", "t r u s t me", "3 kettles for 50"]
-    got = [r.t for r in spark.createDataFrame([(s,) for s in said], "s string").select(abuse.plain_text(F.col("s")).alias("t")).collect()]
-    assert got[:7] == ["you idiot", "stupid", "stupid", "idiot", "idiot", "idiot", "trust me"] and "ketles" in got[7]
+def test_disguises():
+    plain = {"You i.d.i.o.t": "you idiot", "s-t-u-p-i-d": "stupid", "st\u200bupid": "stupid", "iiidiot": "idiot", "1d10t": "idiot", "\u0456di\u043et": "idiot", "t r u s t me": "trust me", "i. d. i. o. t": "idiot", "\u0441\u0443\u043aa": "\u0441\u0443\u043a\u0430", "shut  up": "shut up"}
+    assert {k: abuse.word_codes(k) for k in plain} == {k: abuse.word_codes(v) for k, v in plain.items()}
+    assert abuse.word_codes("3 kettles for 50.\n\u7f8e\u7f8e\u3002") == abuse.word_codes("ketles for. \n\u7f8e\u3002") and not any(abuse.word_codes("12 \n ."))
+    assert abuse.word_codes("i***t") == [abuse._code("i***t"), abuse._MASKED]
+
+
+def test_hidden_cues():
+    known = abuse.seed_cues()
+    g = abuse._grams(np.array(abuse.word_codes("such an idiot here. a quiet day")), np.zeros(8, int)[:8], known)
+    assert g.n == 2 and set(g.of[g.told]) == {0} and set(g.of[~g.told]) == {0, 1} and g.cues.any()
+    x = abuse._Rows(g, np.ones(1 << abuse.BITS))
+    assert x.cues[0].tolist() == [0, 0, 0, 1] and not x.cues[1].any() and x.withheld().cues.shape[1] == 0 and x.other.sum() == (~g.told).sum()
 
 
 def test_abuse_learns(spark):
