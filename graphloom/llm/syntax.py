@@ -1,25 +1,22 @@
-"""Source files that do not parse (problem 1): lexing, adjacent token pairs, nesting, productions."""
+"""Source files that do not parse (problem 1): tokens as rows, adjacent pairs, nesting, productions."""
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import extension, plain
-from graphloom.llm.grammar import BOF, EOF, GRAMMARS, LEXEMES, STARTS, SHELL_OPERATORS, Grammar
+from graphloom.llm.grammar import GRAMMARS
+from graphloom.llm.lex import LEXERS, token_pairs
+from graphloom.llm.machine import EOF, INLINE, name
 from graphloom.plans.shared import materialise
 from graphloom.sources.tables import latest
 
-#: Passes that every file gets; what still nests afterwards goes on until nothing is left to reduce.
-PASSES = 6
-
-
 def decoded(content: Column) -> Column:
     """UTF-8 with or without BOM, else Latin-1; line breaks as ``\\n``."""
     as_utf8 = content.cast("string")
@@ -28,7 +25,7 @@ def decoded(content: Column) -> Column:
 
 
 def languages(tree: DataFrame, nodes: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(project, path, lang, content) of the files to judge.
+    """(file, project, path, lang, content) of the files to judge; ``file`` numbers the rows of ``tree``.
 
     Rows of ``tree`` that nothing excludes, with content and an extension of a
     language with status ``analysed``. The language is that of the newest row in
@@ -42,249 +39,113 @@ def languages(tree: DataFrame, nodes: DataFrame, catalogue: DataFrame) -> DataFr
     other = materialise(other.join(known, "_ext").where(F.col("lang") != F.col("_lang")).groupBy("_p", "_f").agg(F.max("lang").alias("_own")), "other-langs")
     files = (
         tree.where(F.col("excluded_by").isNull() & F.col("content").isNotNull())
-        .select("project", F.col("path"), "content", extension(F.col("path")).alias("_ext"))
+        .select(F.monotonically_increasing_id().alias("file"), "project", F.col("path"), "content", extension(F.col("path")).alias("_ext"))
         .join(known, "_ext")
         .join(other, F.col("project").eqNullSafe(F.col("_p")) & (plain(F.col("path")) == F.col("_f")), "left")
     )
-    return files.select("project", "path", F.coalesce("_own", "_lang").alias("lang"), "content")
-
-
-def _alt(words) -> str:
-    """Alternation of the words as a prefix tree, longest first, so that a position costs a few characters."""
-    tree: dict = {}
-    for w in words:
-        at = tree
-        for c in w:
-            at = at.setdefault(c, {})
-        at[""] = {}
-
-    def show(t: dict) -> str:
-        parts = [re.escape(c) + show(sub) for c, sub in sorted(t.items()) if c]
-        if not parts:
-            return ""
-        inner = parts[0] if len(parts) == 1 and "" not in t else "(?:" + "|".join(parts) + ")"
-        return inner + "?+" if "" in t else inner
-
-    return show(tree)
-
-
-def _first(words) -> str:
-    """Lookahead for the first character of any of the words."""
-    return "(?=[" + "".join(re.escape(c) for c in sorted({w[0] for w in words})) + "])"
-
-
-_MARK_OPEN, _MARK_CLOSE = "\u0001", "\u0002"
-
-
-def _masked(lang: str, text: Column) -> Column:
-    """Comments to blanks, literals to one mark."""
-    marked = F.regexp_replace(text, STARTS.get(lang, "") + "(?:" + LEXEMES[lang] + ")", _MARK_OPEN + "$1" + _MARK_CLOSE)
-    marked = F.replace(marked, F.lit(_MARK_OPEN + _MARK_CLOSE), F.lit(" "))
-    return F.regexp_replace(marked, f"{_MARK_OPEN}[^{_MARK_CLOSE}]*+{_MARK_CLOSE}", _MARK_OPEN)
-
-
-def _class_string(lang: str, g: Grammar, text: Column) -> Column:
-    out = _masked(lang, text)
-    if lang == "python":
-        out = F.regexp_replace(out, r"\\\n", " ")
-    if lang in ("c", "rust", "ruby"):
-        out = F.regexp_replace(out, r"\\\n", " ")
-    if lang == "rust":
-        out = F.regexp_replace(out, r"(?<!\w)'[A-Za-z_]\w*+(?!')", " \u0003 ")
-    if lang == "ruby":
-        # hash labels, method names that are words, and conditions behind a statement
-        out = F.regexp_replace(out, r"(?<![\w:?])[A-Za-z_]\w*+[?!]?:(?![:\w])|(?<=\.)(?:class|if|end|then|begin|next|in|not|and|or|self|nil|while|until|unless|do|def|module)\b[?!]?", f" {_MARK_OPEN}i ")
-    out = F.regexp_replace(out, r"(?=[.\d])" + g.number, " 0 ")
-    out = F.regexp_replace(out, rf"(?=[A-Za-z_@$\x{{80}}-\x{{10FFFF}}])(?<![\w${"@" if lang == "ruby" else ""}\x{{80}}-\x{{10FFFF}}{_MARK_OPEN}])(?!(?:{_alt(g.keywords)})(?![\w$\x{{80}}-\x{{10FFFF}}])){g.ident}", " i ")
-    out = F.regexp_replace(out, _MARK_OPEN + "i", " i ") if lang == "ruby" else out
-    out = F.regexp_replace(out, _MARK_OPEN, " S ")
-    out = F.regexp_replace(out, r"([(\[{])", " $1 ")
-    out = F.replace(F.replace(F.replace(out, F.lit(")"), F.lit(" )P ")), F.lit("]"), F.lit(" ]Q ")), F.lit("}"), F.lit(" }B "))
-    out = F.regexp_replace(out, rf"{_first(g.operators)}({_alt(g.operators)})", " $1 ")
-    if lang in ("go", "javascript", "typescript", "python", "ruby"):
-        out = F.regexp_replace(out, r"[^\S\n]*+\n\s*+", " ¶ ")
-    out = F.concat(F.lit(f" {BOF} "), F.trim(F.regexp_replace(out, r"\s++", " ")), F.lit(f" {EOF} "))
-    out = F.replace(out, F.lit("  "), F.lit(" "))
-    if lang in ("javascript", "typescript"):
-        # a keyword after a dot, or before a colon inside braces, is a name; so are words that only some places reserve
-        out = F.regexp_replace(out, rf"(?<=\. |\?\. )(?:{_alt(g.keywords)})(?= )", "i")
-    if lang == "python":
-        out = F.regexp_replace(out, r"(?:¶ )+", "; ")
-    elif lang == "ruby":
-        out = F.regexp_replace(out, r"(?:¶ )+(?=(?:\.|&\.) )", "")
-        out = F.regexp_replace(out, r"(?:¶ )+", "; ")
-        out = F.regexp_replace(out, r"(?<= (?:i|0|S|\)P|\]Q|\}B|self|nil|true|false|end|super|yield|return|next|break|redo|retry) )(?:if|unless|while|until|rescue)(?= )", "and")
-        out = F.regexp_replace(out, r"( (?:while|until|for) (?:(?!do )[^; ]+ )*)do ", "$1then ")
-    elif g.ends:
-        ends, starts = _alt(g.ends), _alt(g.starts) if g.starts else None
-        after = f"(?=(?:{starts}) )" if starts else ""
-        out = F.regexp_replace(out, rf"(?<= (?:{ends}) )(?:¶ )+{after}", "; ")
-        out = F.replace(out, F.lit("¶ "), F.lit(""))
-    return out
-
-
-_SH_RESERVED = "if then elif else fi for while until do done case esac select in".split()
-_SH_BLOCK = "(?!(?:if|then|elif|else|fi|for|while|until|do|done|case|esac|select|\\(|\\)P|\\{|\\}B) )\\S+ "
-
-
-def _shell_string(text: Column) -> Column:
-    """Words are ``i``, redirections ``R``, the pattern of a case arm ``ARM``."""
-    out = F.regexp_replace(text, r"\\\n", " ")
-    out = _masked("shell", out)
-    out = F.regexp_replace(out, r"\\.", "x")
-    out = F.regexp_replace(out, "[\"'`]", " ¿ ")  # what is left of an unclosed literal
-    out = F.regexp_replace(out, r"(?<=\w)\+?=\(", "=x (")
-    out = F.regexp_replace(out, r"\(\((?:[^()]|\([^()]*+\))*+\)\)", " x ")
-    out = F.regexp_replace(out, r"\$\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\)|\$\{(?:[^{}]|\{[^{}]*+\})*+\}", "x")
-    out = F.regexp_replace(out, r"[<>]\((?:[^()]|\([^()]*+\))*+\)", " x ")
-    out = F.regexp_replace(out, r"\d*(?:&>>|&>|<<<|<<-|<<|>>|<&|>&|<>|>\||<|>)", " R ")
-    out = F.regexp_replace(out, r"(;;&|;&|;;|&&|\|\||\|&|[;&|(])", " $1 ")
-    out = F.replace(out, F.lit(")"), F.lit(" )P "))
-    out = F.regexp_replace(out, r"[^\S\n]*+\n\s*+", " ; ")
-    out = F.concat(F.lit(f" {BOF} "), F.trim(F.regexp_replace(out, r"\s++", " ")), F.lit(f" {EOF} "))
-    out = F.replace(out, F.lit("  "), F.lit(" "))
-    out = F.regexp_replace(out, r"(?<= )\}(?= )", "}B")
-    out = F.regexp_replace(out, r"(?:; )++", "; ")
-    special = rf"(?:{_alt([*_SH_RESERVED, '{', '}B', ')P', 'R', '¿', BOF, EOF])}|{_alt(SHELL_OPERATORS)}|\()"
-    out = F.regexp_replace(out, rf"(?<= )(?!{special} )\S+(?= )", "i")
-    # arms: patterns up to an unmatched bracket after `in` or `;;`
-    out = F.regexp_replace(out, r"(?<= (?:in|;;|;&|;;&) )((?:; )?)(?:\( )?(?:i|\*)(?: \| (?:i|\*))* \)P ", "$1ARM ; ")
-    # reserved words count only where a command may start; `in` after a name of for, case or select
-    out = F.regexp_replace(out, r"(?<!(?:for|case|select) i (?:; )?)(?<= )in(?= )", "i")
-    for _ in range(3):  # words in a row, such as the arguments of `echo if then`
-        out = F.regexp_replace(out, rf"(?<= (?:i|R) )(?:{_alt([w for w in _SH_RESERVED if w != 'in'])}|\{{|\}}B)(?= )", "i")
-    return out
-
-
-def _sh_pairs() -> set[tuple[str, str]]:
-    cmd = {"i", "if", "for", "while", "until", "case", "select", "{", "(", "R"}
-    sep = {";", "&"}
-    join = {"|", "||", "&&", "|&"}
-    ends = {"i", "fi", "done", "esac", "}B", ")P"}
-    close = {"then", "elif", "else", "fi", "do", "done", "esac", "}B", ")P"}
-    arms = {";;", ";&", ";;&"}
-    ok = {(a, b) for a in ends for b in sep | join | arms | {"R", EOF, ")P"}}
-    ok |= {("i", b) for b in ("i", "(", "in", "R")} | {(")P", b) for b in cmd} | {("}B", b) for b in close | {"i"}} | {(a, b) for a in ("fi", "done", "esac", ")P") for b in close}
-    ok |= {(a, b) for a in sep | {BOF} for b in cmd | close | sep | {EOF, "ARM"} | arms} | {(";", "in"), ("R", "i"), ("&", "&")} - {("&", "&")}
-    ok |= {(a, b) for a in join for b in cmd | {";"}} | {(a, b) for a in ("if", "while", "until", "then", "do", "else", "elif", "{", "(") for b in cmd | {";"}} | {("(", ")P")}
-    ok |= {(a, "i") for a in ("for", "case", "select")} | {("in", "i"), ("in", ";"), ("in", "ARM"), ("in", "do"), ("i", "do")} | {(a, b) for a in arms for b in (";", "ARM", "esac", EOF)} | {("ARM", ";"), ("do", "done")} - {("do", "done")}
-    return ok - {("if", ";"), ("while", ";"), ("elif", ";"), ("until", ";")} | {(";", ";;")}
+    return files.select("file", "project", "path", F.coalesce("_own", "_lang").alias("lang"), "content")
 
 
 def permissible(spark: SparkSession) -> DataFrame:
-    """(lang, pair) of all languages. Its size is fixed by the grammars (some 10^4 rows)."""
-    rows = [(lang, f"{a} {b}") for lang, g in GRAMMARS.items() for a, b in g.pairs()] + [("shell", f"{a} {b}") for a, b in _sh_pairs()]
-    return spark.createDataFrame(sorted(rows), "lang string, pair string")
-
-
-# --- reductions -----------------------------------------------------------------------------------------
-
-_GROUP = r"\( [^()\[\]{}]*+\)(P)|\[ [^()\[\]{}]*+\](Q)|\{ [^()\[\]{}]*+\}(B)"
-_RB_OPEN = "def|class|module|begin|do|case|if|unless|while|until|for"
-_REDUCE = {
-    "ruby": [(_GROUP, "$1$2$3"), (rf"(?<= )(?:{_RB_OPEN}) (?:(?!(?:{_RB_OPEN}|end|\(|\[|\{{|\)P|\]Q|\}}B) )\S+ )*+end(?= )", "i")],
-    "shell": [
-        (rf"(?<= )do (?:{_SH_BLOCK})*+done(?= )", "D"), (rf"(?<= )if (?:{_SH_BLOCK})++then (?:{_SH_BLOCK})++(?:elif (?:{_SH_BLOCK})++then (?:{_SH_BLOCK})++)*+(?:else (?:{_SH_BLOCK})++)?+fi(?= )", "i"),
-        (r"(?<= )(?:while|until|for|select) (?:(?!D )" + _SH_BLOCK + r")++D(?= )", "i"), (rf"(?<= )case i (?:; )?in (?:{_SH_BLOCK})*+esac(?= )", "i"),
-        (rf"(?<= )\{{ (?:{_SH_BLOCK})++\}}B(?= )", "B"), (rf"(?<= )\( (?:{_SH_BLOCK})*+\)P(?= )", "P"),
-    ],
-}
-_OPENERS = {"ruby": rf"(?<= )(?:[(\[{{]|{_RB_OPEN})(?= )", "shell": r"(?<= )(?:if|do|case|\{|\()(?= )"}
-_LEFT_OVER = {"ruby": rf" (?:[(\[{{]|\)P|\]Q|\}}B|{_RB_OPEN}|end) ", "shell": r" (?:if|then|elif|else|fi|do|done|D|case|esac|for|while|until|select|[({]|\)P|\}B) "}
-_ANY_OPEN, _ANY_LEFT = r"(?<= )[(\[{](?= )", r" (?:[(\[{]|\)P|\]Q|\}B) "
-_SH_WRONG = r" i P (?:; )*(?:⊣|i )| (?:then|do|else|\{) (?:; )?(?:fi|done|elif|else|\}B) | if (?:; )?then "
-
-
-def _step(lang: str, state: Column) -> Column:
-    """One reduction of every innermost group; a string without groups stays as it is."""
-    s, wrong = state["s"], GRAMMARS[lang].wrong if lang in GRAMMARS else _SH_WRONG
-    out = s
-    for pattern, to in _REDUCE.get(lang, [(_GROUP, "$1$2$3")]):
-        out = F.regexp_replace(out, pattern, to)
-    nested = F.rlike(s, F.lit(_OPENERS.get(lang, _ANY_OPEN)))
-    return F.when(nested, F.struct(out.alias("s"), (state["bad"] | F.rlike(s, F.lit(wrong))).alias("bad"))).otherwise(F.struct(s.alias("s"), state["bad"].alias("bad")))
-
-
-def _reduced(lang: str, norm: Column) -> Column:
-    """struct<s, bad>: the class string with every nested group as one symbol; bad: a production failed on the way.
-
-    The productions of the last string are left to the caller, who checks it once.
-    """
-    step = lambda st, _: _step(lang, st)
-    first = F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), F.struct(norm.alias("s"), F.lit(False).alias("bad")), step)
-    opener = F.lit(_OPENERS.get(lang, _ANY_OPEN))
-    # deeper files: as many further passes as groups are left
-    return F.aggregate(
-        F.array(first),
-        F.struct(F.lit("").alias("s"), F.lit(False).alias("bad")),
-        lambda _, st: F.aggregate(F.slice(F.sequence(F.lit(0), F.regexp_count(st["s"], opener)), F.lit(2), F.regexp_count(st["s"], opener)), st, step),
-    )
+    """(lang, pair) of all languages, derived from the first and last tokens of the grammars' rules. Its size is fixed by the grammars (some 50,000 rows)."""
+    rows = sorted((lang, a + b) for lang, g in GRAMMARS.items() for a, b in g.pairs())
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["lang", "pair"]), "lang string, pair string")
+
+
+_ROUND, _SQUARE, _CURLY = (re.compile(p) for p in (r"\(([^()\[\]{}]*+)\)", r"\[([^()\[\]{}]*+)\]", r"\{([^()\[\]{}]*+)\}"))
+
+
+def _inner_groups_marked(cls: str) -> str:
+    """Brackets of groups without groups become marks, so that they need no row of their own."""
+    for pattern, o, c in ((_ROUND, "(", ")"), (_SQUARE, "[", "]"), (_CURLY, "{", "}")):
+        cls = pattern.sub(rf"{INLINE[o]}\1{INLINE[c]}", cls)
+    return cls
+
+
+def _splitter(lang: str):
+    g = GRAMMARS[lang]
+    turn = {c: 1 for c in g.closers} | {c: -1 for c in g.closers.values()}
+    return re.compile("([" + re.escape("".join(turn)) + "])"), turn
 
 
-def _adjacent(norm: Column) -> Column:
-    toks = F.split(F.trim(norm), " ")
-    return F.array_distinct(F.zip_with(F.slice(toks, F.lit(1), F.size(toks) - 1), F.slice(toks, F.lit(2), F.size(toks) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+_SPLIT = {lang: _splitter(lang) for lang in GRAMMARS}
+_WORDY = {lang for lang, g in GRAMMARS.items() if any(len(name(c)) > 1 for c in g.closers)}
 
 
-# python: block structure over the masked lines
-_PY_BLOCKS = (
-    r"(?m)^([ \t]*+)(?![ \t])[^\n]*:[ \t]*+\n(?:[ \t]*+\n)*+(?!\1[ \t]+\S)|:[ \t]*\z"
-    r"|^([ \t]*+)try:[ \t]*+\n(?:\2[ \t]++[^\n]*+\n|[ \t]*+\n)*+(?!\2(?:except|finally)\b)|^([ \t]*+)(?:except|finally)\b(?<!x)(?=[^:\n]*\n)"
-)
-_PY_SHIFT = r"(?m)^([ \t]*+)[^\s(\[{][^\n]*[^\s,(\[{:\\][ \t]*+\n(?:[ \t]*+\n)*+\1[ \t]++[^\s)\]}]"
+def token_rows(lang: str, text: str) -> tuple[list[str], list[int], list[str]]:
+    """Runs of tokens, each up to a bracket; how that bracket changes the depth; distinct adjacent pairs."""
+    cls = LEXERS[lang](text)
+    pairs = sorted(token_pairs(cls))
+    split, turn = _SPLIT[lang]
+    if lang not in _WORDY:
+        cls = _inner_groups_marked(cls)
+    parts = split.split(cls)
+    parts.append(EOF)
+    runs = [parts[k] + parts[k + 1] for k in range(0, len(parts), 2)]
+    return runs, [turn.get(r[-1], 0) for r in runs], pairs
 
 
-def suspects(files: DataFrame) -> DataFrame:
-    """(project, path, lang, fault): every fault found in the files (project, path, lang, content)."""
+_LEXED = "file bigint, project string, path string, lang string, runs array<string>, turns array<int>, pairs array<string>"
+
+
+def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        runs, turns, pairs = [], [], []
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+            r, t, p = token_rows(lang, text)
+            runs.append(r)
+            turns.append(t)
+            pairs.append(p)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("file", "project", "path", "lang")), pa.array(runs, pa.list_(pa.string())), pa.array(turns, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.string()))], ["file", "project", "path", "lang", "runs", "turns", "pairs"])
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep, faults = [], []
+        for k, (lang, text, even, pairs) in enumerate(zip(*(b.column(c).to_pylist() for c in ("lang", "text", "even", "pairs")))):
+            found = [f"pair: {name(p[0])} {name(p[1])}" for p in pairs or ()]
+            fault = GRAMMARS[lang].judge(text) if even else "nesting"
+            if fault:
+                found.append(fault)
+            if found:
+                keep.append(k)
+                faults.append(sorted(found))
+        b = b.take(pa.array(keep, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("project", "path", "lang")), pa.array(faults, pa.list_(pa.string()))], ["project", "path", "lang", "faults"])
+
+
+def faulty(files: DataFrame) -> DataFrame:
+    """(project, path, lang, faults) of the files (file, project, path, lang, content) with a fault; ``file`` is unique.
+
+    Every file is lexed where it lies into rows: a row holds the tokens up to the next
+    bracket, and further rows hold its distinct adjacent pairs. An anti-join with the
+    permissible pairs leaves the others. Windows over the token rows of a file give each its depth
+    and, per depth, the number of its group; the groups come together outer levels first, and
+    are reduced from the inside out: a group becomes a symbol for the productions that it satisfies.
+    Only tokens are shuffled, one character each, and one file's rows meet in one task.
+    """
     spark = files.sparkSession
-    text = files.where(F.col("lang").isin([*GRAMMARS, "shell"])).select("project", "path", "lang", decoded(F.col("content")).alias("text"))
-
-    def by_language(build, otherwise=None):
-        e = None
-        for lang in [*GRAMMARS, "shell"]:
-            c = build(lang)
-            e = F.when(F.col("lang") == lang, c) if e is None else e.when(F.col("lang") == lang, c)
-        return e
-
-    text = text.where(F.rlike("text", F.lit(r"\S")))
-    norm = text.select("project", "path", "lang", by_language(lambda x: _shell_string(F.col("text")) if x == "shell" else _class_string(x, GRAMMARS[x], F.col("text"))).alias("norm"),
-        F.when(F.col("lang") == "python", F.rlike(_masked("python", F.col("text")), F.lit(_PY_BLOCKS)) | F.rlike(_masked("python", F.col("text")), F.lit(_PY_SHIFT))).otherwise(False).alias("blocks"))
-    reduced = norm.withColumn("r", by_language(lambda x: _reduced(x, F.col("norm"))))
-
-    def faults(lang):
-        s = F.col("r.s")
-        wrong = GRAMMARS[lang].wrong if lang in GRAMMARS else _SH_WRONG
-        f = [F.when(F.col("r.bad") | F.rlike(s, F.lit(wrong)), "production"), F.when(F.rlike(s, F.lit(_LEFT_OVER.get(lang, _ANY_LEFT))), "nesting")]
-        if lang in GRAMMARS and GRAMMARS[lang].wrong_end:
-            f.append(F.when(F.rlike(s, F.lit(GRAMMARS[lang].wrong_end)), "end"))
-        if lang in GRAMMARS and GRAMMARS[lang].wrong_final:
-            f.append(F.when(F.rlike(s, F.lit(GRAMMARS[lang].wrong_final)), "statement"))
-        return F.array_compact(F.array(*f, F.when(F.col("blocks"), "blocks")))
-
-    # in the raw string of languages whose line breaks matter, breaks inside brackets aren't told apart:
-    # pairs with a break count only after reduction
-    pairs = F.when(F.col("lang").isin("python", "ruby"), F.array_union(
-        F.filter(_adjacent(F.col("norm")), lambda p: ~F.contains(p, F.lit(";"))),
-        _adjacent(F.regexp_replace(F.regexp_replace(F.col("r.s"), r"(?<= )([PQB])(?= )", "$1 $1"), r"(?<= )(?:(P) P|(Q) Q|(B) B)(?= )", "( )P")),
-    )).otherwise(_adjacent(F.col("norm")))
-    rows = reduced.select("project", "path", "lang", F.explode(F.array_union(pairs, by_language(faults))).alias("pair"))
-    known = F.broadcast(permissible(spark))
-    return rows.join(known, ["lang", "pair"], "left_anti").select("project", "path", "lang", F.col("pair").alias("fault"))
-
-
-def _parse_python(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    warnings.simplefilter("ignore")
-    for batch in batches:
-        keep = []
-        for text in batch["text"]:
-            try:
-                ast.parse(text)
-                keep.append(False)
-            except (SyntaxError, ValueError):
-                keep.append(True)
-            except (RecursionError, MemoryError):
-                keep.append(False)
-        yield batch.loc[keep, ["project", "path", "lang"]]
+    text = files.where(F.col("lang").isin(*GRAMMARS)).select("file", "project", "path", "lang", decoded(F.col("content")).alias("text"))
+    lexed = text.where(F.rlike("text", F.lit(r"\S"))).mapInArrow(_lexed, _LEXED)
+    none, pair = F.lit(None), "seq int, run string, turn int, pair string"
+    as_row = lambda *c: F.struct(*c).cast(f"struct<{pair.replace(' ', ':').replace(',:', ',')}>")
+    both = F.concat(
+        F.transform(F.arrays_zip("runs", "turns"), lambda x, k: as_row(k, x["runs"], x["turns"], none)),
+        F.transform("pairs", lambda p: as_row(none, none, none, p)),
+    )
+    rows = lexed.select("file", "lang", F.struct("project", "path").alias("of"), F.explode(both).alias("r")).select("file", "lang", F.when(F.col("r.seq") == 0, F.col("of")).alias("of"), "r.*")
+    # size of the broadcast side: fixed by the grammars
+    rows = rows.join(F.broadcast(permissible(spark)), ["lang", "pair"], "left_anti")
+    before = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("depth", F.coalesce(F.sum("turn").over(before), F.lit(0)))
+    earlier = Window.partitionBy("file", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("group", F.coalesce(F.sum(F.when(F.col("turn") < 0, 1)).over(earlier), F.lit(0)))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("depth", "group", "seq", "run"))))
+    whole = rows.groupBy("file").agg(
+        F.max("lang").alias("lang"), F.max("of").alias("of"), F.array_join(F.transform(ordered, lambda x: x["run"]), "").alias("text"),
+        ((F.min("depth") >= 0) & (F.coalesce(F.sum("turn"), F.lit(0)) == 0)).alias("even"), F.collect_set("pair").alias("pairs"),
+    )
+    return whole.select("of.project", "of.path", "lang", "text", "even", "pairs").mapInArrow(_judged, "project string, path string, lang string, faults array<string>")
 
 
 def broken_files(tree: DataFrame, nodes: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -294,19 +155,9 @@ def broken_files(tree: DataFrame, nodes: DataFrame, catalogue: DataFrame) -> Dat
     judged; empty and blank files and style sheets are valid. Repeated rows
     count once; a path with several contents is broken if one of them is. Null
     projects are kept, null paths have no extension and are not judged.
-
-    Lexing, pairs and reductions run in the JVM, row by row; the adjacent pairs of a
-    file become rows and are anti-joined with the grammars' pairs, a broadcast of
-    fixed size. Python files with a fault are then parsed exactly; the other languages have no parser here.
     """
-    files = languages(tree, nodes, catalogue)
-    found = materialise(suspects(files).groupBy("project", "path", "lang").agg(F.sort_array(F.collect_set("fault")).alias("faults")), "suspects")
-    py = found.where(F.col("lang") == "python").select(F.col("project").alias("_p"), F.col("path").alias("_f"))
-    again = files.where(F.col("lang") == "python").join(py, F.col("project").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f")), "left_semi")
-    failing = again.select("project", "path", "lang", decoded(F.col("content")).alias("text")).mapInPandas(_parse_python, "project string, path string, lang string").distinct()
-    failing = failing.select(F.col("project").alias("_p"), F.col("path").alias("_f"))
-    sure = found.where(F.col("lang") == "python").join(failing, F.col("project").eqNullSafe(F.col("_p")) & (F.col("path") == F.col("_f")), "left_semi")
-    return found.where(F.col("lang") != "python").unionByName(sure)
+    found = faulty(languages(tree, nodes, catalogue))
+    return found.groupBy("project", "path", "lang").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("faults")))).alias("faults"))
 
 
 def broken_rates(tree: DataFrame, nodes: DataFrame, catalogue: DataFrame, failures: DataFrame) -> DataFrame:
