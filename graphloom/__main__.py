@@ -25,7 +25,7 @@ def _scan(spark, root: str):
 
 def report(s) -> str:
     cov = coverage(s.files.where(F.col("excluded_by").isNull() & ~F.col("is_symlink")).withColumn("status", F.col("status")))
-    rates = counters(s).groupBy("lang").agg(F.sum("files").alias("files"), F.sum("resolved").alias("r"), F.sum("unresolved").alias("u"))
+    rates = counters(s).where(F.col("level") == 0).groupBy("lang").agg(F.sum("files").alias("files"), F.sum("resolved").alias("r"), F.sum("unresolved").alias("u"))
     rates = rates.select("lang", "files", F.when(F.col("r") + F.col("u") == 0, 1.0).otherwise(F.col("r") / (F.col("r") + F.col("u"))).alias("resolution_rate")).orderBy(F.desc("files"), "lang")
     d = lambda df: [r.asDict() for r in df.collect()]
     return export.markdown_report(d(cov.orderBy("project")), d(rates), d(graph.hubs(s.edges, 15)), d(s.diagnostics.orderBy("project", "path", "seq").limit(500)))

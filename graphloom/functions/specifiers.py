@@ -208,8 +208,8 @@ def css(text: str) -> Iterator[tuple[int, str]]:
 def shell(text: str) -> Iterator[tuple[int, str]]:
     t, _ = mask(text, "sh")
     for m in re.finditer(r"(?m)(?:^|[;&|{(]|\bthen\b|\bdo\b)[ \t]*(?:source|\.)[ \t]+([^\n;&|]+)", t):
-        for arg in re.findall(r"(?:\"[^\"]*\"|'[^']*'|\$\([^)]*\)|[^\s\"'])+", m[1]):
-            raw = arg.replace('"', "").replace("'", "")
+        for arg in re.findall(r"(?:\"(?:\$\([^)]*\)|[^\"])*\"|'[^']*'|\$\([^)]*\)|[^\s\"'])+", m[1]):
+            raw = _unquote(arg).strip()
             if raw and raw[0] not in "<>":
                 yield _line(t, m.start(1)), raw
 

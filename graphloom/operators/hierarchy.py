@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import plain
+from graphloom.functions.paths import dir_name, plain
 from graphloom.plans.shared import materialise
 from graphloom.sources.tables import latest
 
@@ -31,16 +31,23 @@ def module_links(edges: DataFrame) -> DataFrame:
 
 
 def _nodes(links: DataFrame, block_rows: int) -> DataFrame:
-    """Every file that is child or parent, with its parent, its number of children and its block."""
+    """Every file that is child or parent, with its parent, its number of children and its block.
+
+    A project of more than ``block_rows`` links is cut into blocks by folder, so that most parents
+    lie in their children's block; the files of a folder that would fill a quarter of a
+    block are spread by their own hash.
+    """
     ends = links.select("project", "id", "parent", F.lit(0).alias("kids")).unionAll(
         links.where(F.col("parent").isNotNull()).select("project", F.col("parent").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("kids"))
     )
-    nodes = ends.groupBy("project", "id").agg(F.max("parent").alias("parent"), F.sum("kids").alias("kids"))
+    nodes = ends.groupBy("project", "id").agg(F.max("parent").alias("parent"), F.sum("kids").alias("kids")).withColumn("_dir", dir_name(F.col("id")))
     sizes = links.groupBy("project").agg((F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("_blocks")).withColumnRenamed("project", "_p")
-    return nodes.join(sizes, F.col("project").eqNullSafe(F.col("_p"))).select("project", F.pmod(F.hash("id"), F.col("_blocks")).alias("block"), "id", "parent", "kids")
+    crowded = links.groupBy("project", dir_name(F.col("id")).alias("dir")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * 4 > block_rows).select(F.col("project").alias("_q"), F.col("dir").alias("_d"))
+    placed = nodes.join(sizes, F.col("project").eqNullSafe(F.col("_p"))).join(crowded, F.col("project").eqNullSafe(F.col("_q")) & (F.col("_dir") == F.col("_d")), "left")
+    return placed.select("project", F.pmod(F.hash(F.when(F.col("_d").isNull(), F.col("_dir")).otherwise(F.col("id"))), F.col("_blocks")).alias("block"), "id", "parent", "kids")
 
 
-_PEEL = "project string, block int, id string, parent string, kids bigint, size bigint, descendants array<string>, step int, kind int"
+_PEEL = "project string, block int, id string, parent string, kids bigint, size bigint, descendants array<string>, step int, place int, kind int"
 
 
 def _peel_block(round_no: int, lists: bool):
@@ -78,12 +85,12 @@ def _peel_block(round_no: int, lists: bool):
                 if kids[j] == 0:
                     following.append(j)
             ready = following
-        done = set(peeled)
-        rows = [(ids[k], parents[k], kids[k], size[k], sorted(below[k]) if lists and k in done else (below[k] if lists else None), PEELED if k in done else PENDING) for k in range(len(ids))]
-        rows += [(p, None, n, s, d if lists else None, MESSAGE) for p, (n, s, d) in out.items()]
-        made = pd.DataFrame(rows, columns=["id", "parent", "kids", "size", "descendants", "kind"])
+        place = {k: n for n, k in enumerate(peeled)}
+        rows = [(ids[k], parents[k], kids[k], size[k], sorted(below[k]) if lists and k in place else (below[k] if lists else None), place.get(k, -1), PEELED if k in place else PENDING) for k in range(len(ids))]
+        rows += [(p, None, n, s, d if lists else None, -1, MESSAGE) for p, (n, s, d) in out.items()]
+        made = pd.DataFrame(rows, columns=["id", "parent", "kids", "size", "descendants", "place", "kind"])
         made["project"], made["block"], made["step"] = block["project"].iloc[0], block["block"].iloc[0], round_no
-        return made[["project", "block", "id", "parent", "kids", "size", "descendants", "step", "kind"]]
+        return made[["project", "block", "id", "parent", "kids", "size", "descendants", "step", "place", "kind"]]
 
     return peel
 
@@ -91,8 +98,9 @@ def _peel_block(round_no: int, lists: bool):
 def peel(links: DataFrame, lists: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Bottom-up leaf peeling of (project, id, parent).
 
-    Gives (project, block, id, parent, size, descendants, peeled): ``size`` is the number
-    of descendants, ``descendants`` their sorted ids (null unless ``lists``).
+    Gives (project, block, id, parent, size, descendants, step, place, peeled): ``size`` is the number
+    of descendants, ``descendants`` their sorted ids (null unless ``lists``); a file was peeled in
+    round ``step`` as number ``place`` of its block.
     As each file has at most one parent, the files that are never peeled are
     exactly those on a cycle.
 
@@ -122,32 +130,23 @@ def peel(links: DataFrame, lists: bool = False, block_rows: int = BLOCK_ROWS) ->
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out.select("project", "block", "id", "parent", "size", "descendants", (F.col("kind") == PEELED).alias("peeled"))
-
-
-_PATHS = "project string, block int, id string, parent string, path array<string>"
-
-
-def _walk_block(block: pd.DataFrame) -> pd.DataFrame:
-    """Top-down over a block: a file whose parent has a path gets that path and its own id."""
-    ids = block["id"].tolist()
-    parents = [p if isinstance(p, str) else None for p in block["parent"].tolist()]
-    path: dict[str, list] = {i: list(p) for i, p in zip(ids, block["path"].tolist(), strict=True) if p is not None}
-    below: dict[str, list[str]] = {}
-    for i, p in zip(ids, parents, strict=True):
-        if p is not None and i not in path:
-            below.setdefault(p, []).append(i)
-    ready = list(path)
-    while ready:
-        following = []
-        for i in ready:
-            for c in below.get(i, ()):
-                path[c] = [*path[i], c]
-                following.append(c)
-        ready = following
-    made = block[["project", "block", "id", "parent"]].copy()
-    made["path"] = [path.get(i) for i in ids]
-    return made
+    return out.select("project", "block", "id", "parent", "size", "descendants", "step", "place", (F.col("kind") == PEELED).alias("peeled"))
+
+
+_PATHS = "project string, id string, path array<string>"
+
+
+def _assign_block(block: pd.DataFrame) -> pd.DataFrame:
+    """Paths in reverse peel order: a parent was peeled after its children, so its path is known before theirs."""
+    block = block.sort_values("place", ascending=False)
+    path: dict[str, list] = {}
+    for i, p, given in zip(block["id"], block["parent"], block["given"], strict=True):
+        above = path.get(p) if isinstance(p, str) else []
+        if above is None and given is not None:
+            above = list(given)
+        if above is not None:
+            path[i] = [*above, i]
+    return pd.DataFrame({"project": block["project"], "id": block["id"], "path": [path.get(i) for i in block["id"]]})
 
 
 def hierarchy(links: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -159,25 +158,25 @@ def hierarchy(links: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     and a file on a cycle null descendants. Null parents make roots, equal rows
     count once, an empty table gives no rows.
 
-    Paths are assigned in reverse peel order: within each block from the files
-    with a known path downwards, then across blocks by a join on the parent.
+    Paths and depths are assigned in reverse peel order: the rounds of the peeling from the
+    last to the first, and within a round each block from its last file. A parent in
+    another block was peeled in a later round than its child, so one join per round brings its path.
     """
     peeled = materialise(peel(links, True, block_rows), "peeled")
-    state = peeled.where("peeled").select("project", "block", "id", "parent", F.when(F.col("parent").isNull(), F.array("id")).alias("path"))
-    parts = []
-    while True:
-        walked = materialise(state.groupBy("project", "block").applyInPandas(_walk_block, _PATHS), "walk")
-        known, open_ = walked.where(F.col("path").isNotNull()), walked.where(F.col("path").isNull())
-        parts.append(known)
-        up = known.select(F.col("project").alias("_p"), F.col("id").alias("_i"), F.col("path").alias("_path"))
-        state = open_.join(up, F.col("project").eqNullSafe(F.col("_p")) & (F.col("parent") == F.col("_i")), "left").select("project", "block", "id", "parent", F.when(F.col("_path").isNotNull(), F.concat("_path", F.array("id"))).alias("path"))
-        if state.where(F.col("path").isNotNull()).isEmpty():
-            parts.append(open_)
-            break
-    paths = parts[0]
-    for p in parts[1:]:
-        paths = paths.unionAll(p)
-    paths = paths.select(F.col("project").alias("_p"), F.col("id").alias("_i"), F.col("path").alias("_path"))
+    last = peeled.where("peeled").agg(F.max("step")).first()[0]
+    known = None
+    for step in range(-1 if last is None else last, -1, -1):
+        own = peeled.where(F.col("peeled") & (F.col("step") == step)).select("project", "block", "id", "parent", "place")
+        if known is None:
+            own = own.withColumn("given", F.lit(None).cast("array<string>"))
+        else:
+            up = known.select(F.col("project").alias("_p"), F.col("id").alias("_i"), F.col("path").alias("given"))
+            own = own.join(up, F.col("project").eqNullSafe(F.col("_p")) & (F.col("parent") == F.col("_i")), "left").drop("_p", "_i")
+        done = materialise(own.groupBy("project", "block").applyInPandas(_assign_block, _PATHS).where(F.col("path").isNotNull()), "paths")
+        known = done if known is None else known.unionAll(done)
+    if known is None:
+        known = peeled.select("project", "id", F.lit(None).cast("array<string>").alias("path")).limit(0)
+    paths = known.select(F.col("project").alias("_p"), F.col("id").alias("_i"), F.col("path").alias("_path"))
     return peeled.join(paths, F.col("project").eqNullSafe(F.col("_p")) & (F.col("id") == F.col("_i")), "left").select(
         "project", "id", "parent", F.col("_path")[0].alias("root"), F.when(F.col("_path").isNotNull(), F.size("_path") - 1).cast("bigint").alias("depth"),
         F.array_join("_path", " > ").alias("path"), F.when(F.col("peeled"), F.col("size")).alias("n_descendants"), F.when(F.col("peeled"), F.coalesce("descendants", F.array().cast("array<string>"))).alias("descendants"),

@@ -14,8 +14,11 @@ from graphloom.functions import candidates as cand
 from graphloom.functions.catalogue import classify_files
 from graphloom.functions.paths import base_name, dir_name, loc
 from graphloom.functions.specifiers import extract
+from graphloom.plans.shared import materialise
 
 CONFIG = r"(?:^|/)(?:tsconfig[^/]*\.json|package\.json|go\.mod|Cargo\.toml|composer\.json)$"
+#: stands for a null project while projects are joined
+NO_PROJECT = "\u0000"
 _SPEC = "project string, path string, lang string, ordinal int, line int, raw string"
 
 
@@ -71,23 +74,28 @@ def keys(files: DataFrame) -> DataFrame:
 _CAND = _SPEC + ", keys array<string>, tag string, package string"
 
 
+#: Specifiers of a project that one task resolves with one copy of the project's configuration.
+GROUP_ROWS = 200_000
+
+
 def with_candidates(specs: DataFrame, config: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsed: dict[str, dict] = {}
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                c = parsed.get(r.config)
-                if c is None:
-                    parsed.clear()  # rows of a project mostly follow each other
-                    c = parsed[r.config] = json.loads(r.config) if isinstance(r.config, str) else {}
-                k, tag, package = cand.candidates(r.lang, r.raw, r.path, c)
-                out.append((k or [], tag, package))
-            made = b[["project", "path", "lang", "ordinal", "line", "raw"]].copy()
-            made[["keys", "tag", "package"]] = pd.DataFrame(out, columns=["keys", "tag", "package"], index=made.index, dtype=object)
-            yield made
+    """Specifiers with their candidate keys.
+
+    A project's configuration meets its specifiers once per group of some ``GROUP_ROWS``
+    of them, not once per row; a project of many specifiers is cut into groups by path.
+    """
+
+    def run(own: pd.DataFrame, conf: pd.DataFrame) -> pd.DataFrame:
+        c = json.loads(conf["config"].iloc[0]) if len(conf) else {}
+        made = own[["project", "path", "lang", "ordinal", "line", "raw"]].copy()
+        out = [cand.candidates(r.lang, r.raw, r.path, c) for r in own.itertuples(index=False)]
+        made["keys"], made["tag"], made["package"] = [k or [] for k, _, _ in out], [t for _, t, _ in out], [p for _, _, p in out]
+        return made
 
-    return specs.join(config, "project", "left").mapInPandas(run, _CAND)
+    groups = specs.groupBy("project").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_groups"))
+    left = specs.join(groups, "project").withColumn("_group", F.pmod(F.xxhash64("path"), F.col("_groups")).cast("int")).drop("_groups")
+    right = config.join(groups, "project").select("project", "config", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"))
+    return left.groupBy("project", "_group").cogroup(right.groupBy("project", "_group")).applyInPandas(run, _CAND)
 
 
 def resolve(specs: DataFrame, files: DataFrame) -> DataFrame:
@@ -119,10 +127,13 @@ class Scan:
     failures: DataFrame
 
 
-def scan(tree: DataFrame, extractor: Callable[[str, str], list[tuple[int, str]]] = extract, store: Callable[[DataFrame, str], DataFrame] | None = None) -> Scan:
-    """The whole scan of a file table. ``store`` (such as ``materialise``) keeps the two costly steps."""
-    keep = store or (lambda df, _: df)
-    files = keep(prepare(tree), "files")
+def scan(tree: DataFrame, extractor: Callable[[str, str], list[tuple[int, str]]] = extract, store: Callable[[DataFrame, str], DataFrame] = materialise) -> Scan:
+    """The whole scan of a file table. ``store`` keeps the costly steps, which later ones read several times.
+
+    Files without a project form one project of their own; its rows come out with a null project.
+    """
+    keep = store
+    files = keep(prepare(tree.withColumn("project", F.coalesce("project", F.lit(NO_PROJECT)))), "files")
     specs = keep(specifiers(files, extractor), "specifiers")
     resolved = keep(resolve(specs, files), "resolved")
     known = files.select("project", F.col("path").alias("target"), "status", "excluded_by", "is_symlink")
@@ -143,18 +154,32 @@ def scan(tree: DataFrame, extractor: Callable[[str, str], list[tuple[int, str]]]
     )
     failed = files.where(F.col("status") == "failed").select("project", "path", F.lit("read failed: stream did not contain valid UTF-8").alias("reason"))
     skipped = configs(files).select("project", F.explode(F.from_json(F.get_json_object("config", "$.skipped"), "map<string,string>")).alias("path", "r")).select("project", "path", F.concat(F.lit("tsconfig skipped: "), F.col("r")).alias("reason"))
-    return Scan(files, specs, resolved, nodes, edges, bad.unionByName(lost), failed.unionByName(skipped))
+    told = lambda df: df.withColumn("project", F.nullif(F.col("project"), F.lit(NO_PROJECT)))
+    return Scan(*map(told, (files, specs, resolved, nodes, edges, bad.unionByName(lost), failed.unionByName(skipped))))
 
 
 def counters(s: Scan) -> DataFrame:
-    """Per project and language: files, specifiers by outcome, edges and the resolution rate."""
+    """Files, specifiers by outcome, edges and the resolution rate: per project and language, per project and in all.
+
+    Every specifier counts once, whatever its targets; ``level`` is 0 for (project, lang), 1
+    for a project, 3 for all. rate = resolved / (internal - excluded), 1.0 where that is 0.
+    """
     from graphloom.operators.stats import rate
 
-    d = s.diagnostics.groupBy("project", "lang").agg(F.count_if(F.col("kind") == "unresolved").alias("unresolved"), F.count_if(F.col("kind") == "excluded").alias("excluded"))
-    r = s.resolved.groupBy("project", "lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("tag") == "external").alias("external"))
-    f = s.nodes.where(F.col("kind") == "source").groupBy("project", "lang").agg(F.count(F.lit(1)).alias("files"))
-    e = s.edges.join(s.nodes.select("project", F.col("id").alias("source"), "lang"), ["project", "source"]).groupBy("project", "lang").agg(F.count(F.lit(1)).alias("edges"))
-    j = f.join(r, ["project", "lang"], "full").join(d, ["project", "lang"], "left").join(e, ["project", "lang"], "left").na.fill(0)
+    zero, one = F.lit(0), F.lit(1)
+    columns = ("files", "total", "external", "unresolved", "excluded", "edges")
+
+    def part(df: DataFrame, **given) -> DataFrame:
+        return df.select("project", "lang", *[given.get(c, zero).cast("bigint").alias(c) for c in columns])
+
+    langs = s.nodes.where(F.col("kind") == "source").select("project", F.col("id").alias("source"), "lang")
+    owned = s.edges.alias("e").join(langs.alias("n"), F.col("e.project").eqNullSafe(F.col("n.project")) & (F.col("e.source") == F.col("n.source"))).select("n.project", "n.lang")
+    rows = (
+        part(langs, files=one).unionAll(part(owned, edges=one)).unionAll(part(s.resolved, total=one, external=(F.col("tag") == "external").cast("int")))
+        .unionAll(part(s.diagnostics, unresolved=(F.col("kind") == "unresolved").cast("int"), excluded=(F.col("kind") == "excluded").cast("int")))
+    )
+    per = rows.groupBy("project", "lang").agg(*[F.sum(c).alias(c) for c in columns])
+    g = per.groupingSets([["project", "lang"], ["project"], []], "project", "lang").agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in columns], F.grouping_id().cast("int").alias("level"))
     internal = F.col("total") - F.col("external")
     resolved = internal - F.col("unresolved") - F.col("excluded")
-    return j.select("project", "lang", "files", F.col("total").alias("specifiers_total"), internal.alias("specifiers_internal"), resolved.alias("resolved"), "unresolved", "excluded", F.col("external").alias("external_specifiers"), "edges", rate(resolved, internal - F.col("excluded")).alias("resolution_rate"))
+    return g.select("project", "lang", "level", "files", F.col("total").alias("specifiers_total"), internal.alias("specifiers_internal"), resolved.alias("resolved"), "unresolved", "excluded", F.col("external").alias("external_specifiers"), "edges", rate(resolved, internal - F.col("excluded")).alias("resolution_rate"))

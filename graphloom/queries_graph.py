@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from graphloom.operators import export, graph, stats
 from graphloom.operators.communities import communities as find_communities
 from graphloom.operators.scan import counters, scan
-from graphloom.plans.shared import materialise
 from graphloom.queries_general import PLAIN
 from graphloom.sources.tables import table
 
@@ -200,7 +199,7 @@ def scan_diagnostics(spark, d):
 
 
 def scan_counters(spark, d):
-    return counters(scan(table(spark, d, "tree"), store=materialise))
+    return counters(scan(table(spark, d, "tree")))
 
 
 _FUNCS = (

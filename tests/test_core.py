@@ -64,7 +64,7 @@ def test_hierarchy_random(spark):
 def test_target_profile(spark):
     rng = random.Random(1)
     rows = [(f"p{rng.randrange(3)}" if rng.random() > 0.05 else None, f"s{rng.randrange(5)}" if rng.random() > 0.1 else None, "hot" if rng.random() < 0.4 else rng.choice(["./a", "a", ".\\b", None]), "import", 0) for _ in range(400)]
-    got = {r.target: (r.n_rows, r.n_projects, r.n_files) for r in target_profile(edge_table(spark, rows), 2, 3).collect()}
+    got = {r.target: (r.n_rows, r.n_projects, r.n_files) for r in target_profile(edge_table(spark, rows), 2).collect()}
     want = {}
     for t in ("hot", "a", "b"):
         own = [r for r in rows if r[2] and r[2].replace("\\", "/").removeprefix("./") == t]
