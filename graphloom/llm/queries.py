@@ -38,13 +38,13 @@ def p5_found(spark, d):
 
 
 def p5_pairs(spark, d):
-    out = terms.co_occurrence(table(spark, d, "nodes"), min_joint=5, min_share=2000, min_lift=1.0)
+    out = terms.co_occurrence(table(spark, d, "nodes"), min_joint=5, min_share=2000, min_lift=1.0, min_llr=None)
     return out.withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
 
 
 def p5_all_pairs(spark, d):
     """Every pair that occurs, with the verdict of the log-likelihood ratio at 0.1 %."""
-    out = terms.co_occurrence(table(spark, d, "nodes"), min_joint=1, min_share=None, min_lift=0.0)
+    out = terms.co_occurrence(table(spark, d, "nodes"), min_joint=1, min_share=None, min_lift=0.0, min_llr=None)
     out = out.withColumns({"lift": F.round("lift", 6), "llr": F.round(F.greatest("llr", F.lit(0.0)), 4)})
     return out.withColumn("significant", F.col("llr") >= terms.LLR_SIGNIFICANT)
 

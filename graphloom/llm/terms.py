@@ -39,29 +39,25 @@ def term_counts(nodes: DataFrame, rare_below: int = 3, common_percent: float = 5
     Term counts per record need no shuffle of their own, as the rows already lie
     by (project, id). Names are then combined by hash in every input partition,
     so a name held by a third of all records arrives as one row per partition.
+    A record with names also emits one null: their number comes out of the same pass.
     """
+    own = F.array_compact(F.transform("external_deps", clean_name))
     per_record = (
         records(nodes)
-        .select("project", "id", F.explode("external_deps").alias("name"))
-        .select("project", "id", clean_name(F.col("name")).alias("name"))
-        .where(F.col("name").isNotNull())
+        .select("project", "id", own.alias("names"))
+        .where(F.size("names") > 0)
+        .select("project", "id", F.explode(F.concat("names", F.array(F.lit(None).cast("string")))).alias("name"))
         .groupBy("project", "id", "name")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     counts = materialise(per_record.groupBy("name").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("n_records")), "terms")
-    n = named_records(nodes)
-    return counts.select(
+    n = counts.where(F.col("name").isNull()).agg(F.max("n_records")).scalar()
+    return counts.where(F.col("name").isNotNull()).select(
         "name", "occurrences", "n_records", (F.col("n_records") / n).alias("share"),
         (F.col("n_records") < rare_below).alias("is_rare"), (F.col("n_records") * 100 > n * common_percent).alias("is_common"),
     )
 
 
-def named_records(nodes: DataFrame) -> Column:
-    """Number of records with at least one name, as a scalar subquery."""
-    named = records(nodes).where(F.exists("external_deps", lambda x: clean_name(x).isNotNull()))
-    return named.agg(F.count(F.lit(1))).scalar()
-
-
 def marked_terms(nodes: DataFrame, rare_below: int = 3, common_percent: float = 5.0) -> DataFrame:
     """(name, mark) of the names outside the bounds; a name that is both has two rows."""
     t = term_counts(nodes, rare_below, common_percent)
@@ -141,13 +137,15 @@ def _numbered(names: DataFrame) -> DataFrame:
     return materialise(ranges.select((start[part] + row).cast("int").alias("item"), "name", "k"), "names")
 
 
-def co_occurrence(nodes: DataFrame, min_joint: int = 5, min_share: int | None = 2000, min_lift: float = 30.0, parts: int = 16) -> DataFrame:
+def co_occurrence(nodes: DataFrame, min_joint: int = 5, min_share: int | None = 2000, min_lift: float = 30.0, parts: int = 16, min_llr: float | None = LLR_SIGNIFICANT) -> DataFrame:
     """(name_a, name_b, k_a, k_b, k_ab, n, lift, llr) for the pairs of names that share enough records.
 
     A pair comes out where k_ab >= ``min_joint``, ``min_share`` * k_ab >= n and
     k_ab * n >= ``min_lift`` * k_a * k_b (``min_share`` None: no such bound; with
     ``min_joint`` 1 and ``min_lift`` 0 every pair that occurs comes out); n counts the records with at least one
-    name, ``llr`` is Dunning's log-likelihood ratio of the 2 x 2 table. The
+    name, ``llr`` is Dunning's log-likelihood ratio of the 2 x 2 table; pairs below
+    ``min_llr`` are left out as chance (None: none are). Under the default bounds
+    no case is: five joint records at thirty times chance have a ratio above 20. The
     smaller name (by code points) comes first. Nulls, blanks and repeats within a
     record count for nothing, an empty table gives no rows.
 
@@ -189,4 +187,7 @@ def co_occurrence(nodes: DataFrame, min_joint: int = 5, min_share: int | None =
     k, ka, kb, t = (F.col(c).cast("double") for c in ("k_ab", "k_a", "k_b", "n"))
     h = lambda *xs: sum((_xlogx(x) for x in xs[1:]), _xlogx(xs[0]))
     llr = 2 * (h(k, ka - k, kb - k, t - ka - kb + k) - h(ka, t - ka) - h(kb, t - kb) + _xlogx(t))
-    return pairs.withColumn("n", F.lit(n).cast("bigint")).select("name_a", "name_b", "k_a", "k_b", "k_ab", "n", (k * t / (ka * kb)).alias("lift"), llr.alias("llr"))
+    pairs = pairs.withColumn("llr", llr)
+    if min_llr is not None:
+        pairs = pairs.where(F.col("llr") >= min_llr)
+    return pairs.withColumn("n", F.lit(n).cast("bigint")).select("name_a", "name_b", "k_a", "k_b", "k_ab", "n", (k * t / (ka * kb)).alias("lift"), "llr")

@@ -42,9 +42,11 @@ def test_co_occurrence(spark):
         ab = sum(a in s and b in s for s in sets)
         if ab >= 5 and 2000 * ab >= n and ab * n >= 2 * k[a] * k[b]:
             want.add((a, b, k[a], k[b], ab))
-    got = terms.co_occurrence(spark.createDataFrame(rows, NODES), min_lift=2.0).collect()
+    got = terms.co_occurrence(spark.createDataFrame(rows, NODES), min_lift=2.0, min_llr=None).collect()
     assert {(r.name_a, r.name_b, r.k_a, r.k_b, r.k_ab) for r in got} == want and ("x", "y") in {w[:2] for w in want}
     assert all(r.llr > 0 for r in got)
+    sure = terms.co_occurrence(spark.createDataFrame(rows, NODES), min_lift=2.0).collect()
+    assert {(r.name_a, r.name_b) for r in sure} == {(r.name_a, r.name_b) for r in got if r.llr >= terms.LLR_SIGNIFICANT}
     assert terms.co_occurrence(spark.createDataFrame([], NODES)).count() == 0
 
 
