@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+
 from graphloom.llm.grammar import GRAMMARS, RUBY_RESERVED
 from graphloom.llm.machine import CLASSES, EOF, SOFT, STRAY, code
 
@@ -64,8 +66,17 @@ class Lexicon(dict):
 
 
 def _operators(lang: str) -> str:
-    ops = [w for w in GRAMMARS[lang].words if not (w[0].isalnum() or w[0] in "_§")]
-    return "|".join(re.escape(w) for w in sorted([*ops, *"()[]{}"], key=lambda w: (-len(w), w)))
+    """Operators and brackets, the longest first; those that begin no other in one class before all."""
+    by: dict[str, list[str]] = {}
+    for w in [*(w for w in GRAMMARS[lang].words if not (w[0].isalnum() or w[0] in "_§")), *"()[]{}"]:
+        by.setdefault(w[0], []).append(w[1:])
+    alone = [c for c, rest in by.items() if rest == [""]]
+    out = ["[" + "".join(re.escape(c) for c in alone) + "]"]
+    for c, rest in by.items():
+        if c not in alone:
+            longer = "|".join(re.escape(r) for r in sorted(filter(None, rest), key=lambda r: (-len(r), r)))
+            out.append(f"{re.escape(c)}(?:{longer})" + ("?+" if "" in rest else ""))
+    return "|".join(out)
 
 
 def _no_breaks(cls: str) -> str:
@@ -75,7 +86,8 @@ def _no_breaks(cls: str) -> str:
 # --- javascript and typescript ---------------------------------------------------------------------------
 
 _REGEX = r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
-_BEFORE_REGEX = r"(?:=>|[=!]==?|&&|\|\||\?\?|[-+*%&|^~<>=!?:;,({\[]|(?<![\w$.])(?:return|typeof|case|in|of|delete|void|throw|new|else|do|await|yield|instanceof)(?![\w$])|(?<![\w$)\]}])\n)"
+_BEFORE_REGEX = r"[-+*%&|^~<>=!?:;,({\[]{1,3}+\s*+"
+_AFTER_WORD = "(?:" + "|".join(f"(?<={w}{b})" for w in ("return", "typeof", "case", "delete", "void", "throw", "await", "yield", "[^\\w$.]in", "[^\\w$.]of") for b in (" ", "")) + ")"
 
 
 def _template() -> str:
@@ -171,7 +183,10 @@ def _without_markup(text: str) -> str:
 
 
 def _script_lexer(lang: str) -> Callable[[str], str]:
-    token = re.compile(rf"{_LINE}|{_BLOCK}|{_BEFORE_REGEX}\s*+{_REGEX}|{_BREAK}|(?:{_WORD}|\$[\w$]*+|\\u\{{?[0-9a-fA-F]++\}}?[\w$]*+)|{_DQ}|{_SQ}|{_TPL}|{_NUMBER}|{_operators(lang)}|\S")
+    name = r"(?:[^\W\d]|\$)[\w$]*+"
+    after = rf"{_LINE}|{_BLOCK}|{_AFTER_WORD}{_REGEX}|{_DQ}|{_SQ}|{_NUMBER}|{_operators(lang)}|{_TPL}|\\u\{{?[0-9a-fA-F]++\}}?[\w$]*+|\S"
+    plain, token = re.compile(rf"[ \t]*+({name}|{_BREAK}|{after})"), re.compile(rf"[ \t]*+({name}|{_BEFORE_REGEX}{_REGEX}|{_BREAK}|{after})")
+    slashed = re.compile(r"[-+*%&|^~<>=!?:;,({\[]\s*+/(?![/*])")
     tail = re.compile(rf"([\s\S]*?)\s*({_REGEX})")
 
     def rule(t: str) -> str | None:
@@ -182,7 +197,7 @@ def _script_lexer(lang: str) -> Callable[[str], str]:
         if "/" in t[1:] and t[0] not in "\"'/":
             m = tail.fullmatch(t)
             if m:
-                return lexicon[m.group(1) or "\n"] + (SOFT if "\n" in t[: m.start(2)].lstrip("\n") else "") + "R"
+                return lex(m.group(1)) + "R"
         if t[0] == "\\" and len(t) > 1:
             return CLASSES["ID"]
         return None
@@ -190,7 +205,7 @@ def _script_lexer(lang: str) -> Callable[[str], str]:
     lexicon = Lexicon(lang, rule)
 
     def lex(text: str) -> str:
-        return "".join([lexicon[t] for t in token.findall(text)])
+        return "".join([lexicon[t] for t in (token if slashed.search(text) else plain).findall(text)])
 
     def whole(text: str) -> str:
         if "</" in text or "/>" in text:
@@ -209,7 +224,7 @@ def _script_lexer(lang: str) -> Callable[[str], str]:
 
 def _go_lexer() -> Callable[[str], str]:
     rune = r"'(?:[^'\\\n]|\\(?:[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|.))'"
-    token = re.compile(rf"{_LINE}|{_BLOCK}|{_BREAK}|{_WORD}|{_DQ}|`[^`]*+`|{rune}|{_NUMBER}|{_operators('go')}|\S")
+    token = re.compile(rf"[ \t]*+({_WORD}|{_BREAK}|{_LINE}|{_BLOCK}|{_DQ}|`[^`]*+`|{rune}|{_NUMBER}|{_operators('go')}|\S)")
     lexicon, words = Lexicon("go"), GRAMMARS["go"].words
     ends = "i0S)]}" + "".join(words[w] for w in ("break", "continue", "fallthrough", "return", "++", "--"))
     ending = re.compile(f"(?<=[{re.escape(ends)}]){SOFT}+")
@@ -222,7 +237,7 @@ def _go_lexer() -> Callable[[str], str]:
 
 def _java_lexer() -> Callable[[str], str]:
     char = r"'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'"
-    token = re.compile(rf"{_LINE}|{_BLOCK}|non-sealed\b|{_WORD}|\$[\w$]*+|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|\"(?:[^\"\\\n]|\\.)*+\"|{char}|{_NUMBER}|{_operators('java')}|\S")
+    token = re.compile(rf"\s*+((?:[^\W\d]|\$)[\w$]*+(?<!\bnon)|{_LINE}|{_BLOCK}|non-sealed\b|{_WORD}|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|\"(?:[^\"\\\n]|\\.)*+\"|{char}|{_NUMBER}|{_operators('java')}|\S)")
     lexicon = Lexicon("java")
     return lambda text: _no_breaks("".join([lexicon[t] for t in token.findall(text)]))
 
@@ -232,10 +247,10 @@ _DIRECTIVE = r"include|define|undef|ifdef|ifndef|if|elifdef|elifndef|elif|else|e
 
 
 def _c_lexer() -> Callable[[str], str]:
-    directive = rf"(?m:^)[ \t]*+#[ \t]*+(?:(?:{_DIRECTIVE})\b(?:{_BLOCK}|[^\n\\/]|\\[\s\S]|/(?!\*))*+|(?=\n))"
-    attr = r"\b(?:__attribute__|__declspec|_Pragma)\s*+\((?:[^()\"]|\"(?:[^\"\\\n]|\\.)*+\"|\((?:[^()\"]|\"(?:[^\"\\\n]|\\.)*+\"|\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\))*+\))*+\)|\[\[[^\[\]]*+\]\]"
+    directive = rf"#[ \t]*+(?:(?:{_DIRECTIVE})\b(?:{_BLOCK}|[^\n\\/]|\\[\s\S]|/(?!\*))*+|(?=\n))"
+    attr = r"(?:__attribute__|__declspec|_Pragma)\s*+\((?:[^()\"]|\"(?:[^\"\\\n]|\\.)*+\"|\((?:[^()\"]|\"(?:[^\"\\\n]|\\.)*+\"|\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\))*+\))*+\)|\[\[[^\[\]]*+\]\]"
     char = r"(?:u8|[uUL])?'(?:[^'\\\n]|\\.)++'"
-    token = re.compile(rf"{_LINE}|{_BLOCK}|{directive}|{attr}|(?:u8|[uUL])?{_DQ}|{char}|{_WORD}|{_NUMBER}|{_operators('c')}|\S")
+    token = re.compile(rf"\s*+((?!__[ad]|_P|(?:u8|[uUL])[\"']){_WORD}|{_LINE}|{_BLOCK}|{directive}|(?:u8|[uUL])?{_DQ}|{char}|{_NUMBER}|{attr}|{_WORD}|{_operators('c')}|\S)")
     # names that are macros by custom
     macro = re.compile(r"[A-Z][A-Z0-9_]+|__\w+|[A-Z]\w*_(?:FUNC|DATA|API|EXPORT|EXTERN)")
     # the arms of a condition after its first
@@ -293,8 +308,8 @@ def _paired(cls: str) -> bool:
 def _rust_lexer() -> Callable[[str], str]:
     block = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/)*+\*/)*+\*/"
     char = r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'"
-    raw = r'\b(?:b|c)?r(?P<h>#*+)"[\s\S]*?"(?P=h)'
-    token = re.compile(rf"{_LINE}|{block}|{raw}|(?:\b[bc])?\"(?:[^\"\\]|\\[\s\S])*+\"|{char}|'[^\W\d]\w*+|(?:r#)?{_WORD}|{_RANGED}|{_operators('rust')}|\S")
+    raw = r'(?:b|c)?r(?P<h>#*+)"[\s\S]*?"(?P=h)'
+    token = re.compile(rf"\s*+(?:{_WORD}(?![#\"'])|{_LINE}|{block}|{raw}|[bc]?\"(?:[^\"\\]|\\[\s\S])*+\"|{char}|'[^\W\d]\w*+|(?:r#)?{_WORD}|{_RANGED}|{_operators('rust')}|\S)")
 
     def rule(t: str) -> str | None:
         if t[0] == "'" and t[-1] != "'":
@@ -315,7 +330,7 @@ def _rust_lexer() -> Callable[[str], str]:
         """Contents of macro calls and attributes are free tokens: only their brackets are checked, here."""
         if text.startswith("#!") and not text.startswith("#!["):
             text = text[text.find("\n") :] if "\n" in text else ""
-        cls = _no_breaks("".join([lexicon[m.group()] for m in token.finditer(text)]))
+        cls = _no_breaks("".join([lexicon[m.group().lstrip()] for m in token.finditer(text)]))
         out, at = [], 0
         while m := free.search(cls, at):
             stack, end = [], -1
@@ -344,10 +359,10 @@ def _rust_lexer() -> Callable[[str], str]:
 def _python_lexer() -> Callable[[str], str]:
     long = r"(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+''')"
     hole = r"\{(?:[^{}'\"\n]|\"[^\"\n{}]*\"|'[^'\n{}]*'|\{[^{}\n]*\})*\}"
-    holes = rf"(?i:\b(?:f|fr|rf|t|tr|rt))(?:\"(?:[^\"\\\n{{]|\\[\s\S]|\{{\{{|{hole}|\{{)*\"|'(?:[^'\\\n{{]|\\[\s\S]|\{{\{{|{hole}|\{{)*')"
+    holes = rf"(?i:f|fr|rf|t|tr|rt)(?:\"(?:[^\"\\\n{{]|\\[\s\S]|\{{\{{|{hole}|\{{)*\"|'(?:[^'\\\n{{]|\\[\s\S]|\{{\{{|{hole}|\{{)*')"
     short = r"\"(?:[^\"\\\n]|\\[\s\S])*+\"|'(?:[^'\\\n]|\\[\s\S])*+'"
     number = r"(?:0[xXoObB]\w++|(?:\d[\d_]*+\.?[\d_]*+|\.\d[\d_]*+)(?:[eE][+-]?\d[\d_]*+)?[jJ]?)"
-    token = re.compile(rf"(?:[ \t\f]*+(?:#[^\n]*+)?\n)++[ \t\f]*+|#[^\n]*+|\\\n|(?i:\b(?:[rbuft]|br|rb|fr|rf|tr|rt))?{long}|{holes}|(?i:\b(?:[rbu]|br|rb))?(?:{short})|{_WORD}|{number}|{_operators('python')}|\S")
+    token = re.compile(rf"[ \t\f]*+({_WORD}(?![\"'])|(?:(?:#[^\n]*+)?\n[ \t\f]*+)++|{long}|{short}|{number}|{_operators('python')}|#[^\n]*+|\\\n|(?i:[rbuft]|br|rb|fr|rf|tr|rt){long}|{holes}|(?i:[rbu]|br|rb)(?:{short})|{_WORD}|\S)")
 
     def rule(t: str) -> str | None:
         if t == "\\\n":
@@ -600,7 +615,9 @@ LEXERS: dict[str, Callable[[str], str]] = {
 }
 
 
-def token_pairs(cls: str) -> set[str]:
-    """Adjacent tokens of a class string and of its ends, as strings of two; tokens parted by a line break that may end a statement are none."""
-    whole = "⊢" + cls + EOF
-    return {a + b for a, b in set(zip(whole, whole[1:])) if a != SOFT and b != SOFT}
+def token_pairs(cls: str) -> list[str]:
+    """Distinct adjacent tokens of a class string and of its ends, as strings of two; tokens parted by a line break that may end a statement are none."""
+    codes = np.frombuffer(("⊢" + cls + EOF).encode("utf-16-le"), np.uint16).astype(np.uint32)
+    pairs = np.unique(codes[:-1] << 16 | codes[1:]).tolist()
+    soft = ord(SOFT)
+    return [chr(p >> 16) + chr(p & 0xFFFF) for p in pairs if p >> 16 != soft and p & 0xFFFF != soft]

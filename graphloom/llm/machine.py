@@ -22,9 +22,9 @@ BRACKETS = {"P": "()", "Q": "[]", "B": "{}", "N": "‹›"}
 #: brackets of groups that hold no other group
 INLINE = {"(": "\x11", ")": "\x12", "[": "\x13", "]": "\x14", "{": "\x15", "}": "\x16"}
 _OPEN_OF = {INLINE[o]: o for o in "([{"}
-_CLOSES = {INLINE[c] for c in ")]}"}
-#: known states of one machine; beyond that they are found anew
-MOST_STATES = 100_000
+_UNMARKED = {v: k for k, v in INLINE.items()}
+#: known states of one machine and runs of tokens remembered with them; beyond that they are found anew
+MOST_STATES, MOST_RUNS = 100_000, 400_000
 
 _codes: dict[str, str] = {}
 
@@ -40,6 +40,8 @@ def name(char: str) -> str:
     for k, v in _codes.items():
         if v == char:
             return k
+    if char in _UNMARKED:
+        return _UNMARKED[char]
     return {"i": "name", "0": "number", "S": "string", BOF: "start", EOF: "end", STRAY: "stray character"}.get(char, char)
 
 
@@ -68,6 +70,10 @@ class Machine:
             self._build(ast, *self.rules[k])
         self.ends = {end for _, end in self.rules.values()}
         self.tail = [self._ends_only(n) for n in range(len(self.eps))]
+        opening = re.escape("".join(self.closers))
+        self._structure = re.compile(f"[{opening}{re.escape(''.join(self.closers.values()))}{EOF}]")
+        inner = "|".join(f"{INLINE[o]}[^{INLINE[c]}]*+{INLINE[c]}" for o, c in ("()", "[]", "{}"))
+        self._parts = re.compile(f"[^{opening}\x11\x13\x15]++|[{opening}]|{inner}")
         self._clear()
 
     # --- reading the grammar -------------------------------------------------------------------------
@@ -246,6 +252,8 @@ class Machine:
 
     def _clear(self) -> None:
         self.states: dict = {}
+        self._inner: dict[str, int] = {}
+        self.held = 0
         self.dead = State(frozenset(), 0)
         self.starts = {o: self._closed([(self.rules[r][0], k) for k, r in enumerate(rules)]) for o, rules in self.roles.items()}
 
@@ -312,19 +320,18 @@ class Machine:
         ``text`` holds the content of the file's groups, outer levels first, each ended by
         its closing bracket (the file itself by ``EOF``), nested groups as their opening bracket.
         """
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > MOST_STATES or self.held > MOST_RUNS:
             self._clear()
-        ends = set(self.closers.values())
-        parts, begin = [], 0
-        for k, c in enumerate(text):
-            if c == EOF or c in ends:
-                parts.append((begin, k))
-                begin = k + 1
         # the children of each group follow those of the groups before it
-        openers, child_of = [""], []
-        for a, z in parts:
-            child_of.append(len(openers))
-            openers += [c for c in text[a:z] if c in self.closers]
+        openers, child_of, parts, begin = [""], [1], [], 0
+        for m in self._structure.finditer(text):
+            c = m.group()
+            if c in self.closers:
+                openers.append(c)
+            else:
+                parts.append((begin, m.start()))
+                begin = m.end()
+                child_of.append(len(openers))
         if len(openers) != len(parts) or begin != len(text):
             return "nesting"
         masks = [0] * len(parts)
@@ -332,35 +339,69 @@ class Machine:
             a, z = parts[g]
             if g and text[z] != self.closers[openers[g]]:
                 return f"nesting: {name(openers[g])} closed by {name(text[z])}"
-            child, outer = child_of[g], []
-            state = self.starts.get(openers[g], self.dead)
-            for k in range(a, z):
-                c = text[k]
-                new = state.to.get(c)
+            child = child_of[g]
+            start = state = self.starts.get(openers[g], self.dead)
+            for part in self._parts.findall(text[a:z]):
+                new = state.to.get(part)
                 if new is None:
-                    if c in _OPEN_OF:
-                        outer.append(state)
-                        new = self.starts.get(_OPEN_OF[c], self.dead)
-                    elif c in _CLOSES:
-                        mask = self.accepted(state)
-                        state = outer.pop()
-                        symbol = (_PAIRED[c], mask)
-                        new = state.to.get(symbol) or self.step(state, symbol)
-                        if new is not self.dead:
-                            state.to.setdefault(symbol, new)
-                    elif c in self.closers:
-                        symbol = (c, masks[child])
+                    if part in self.closers:
+                        symbol = (part, masks[child])
                         child += 1
                         new = state.to.get(symbol) or self.step(state, symbol)
                     else:
-                        new = self.step(state, c)
+                        new = self._run(state, part)
                 if new is self.dead:
-                    return "production: " + " ".join(name(x) for x in text[max(a, k - 6) : k + 1])
+                    return self._where(start, text[a:z], masks[child_of[g] :])
                 state = new
             masks[g] = self.accepted(state)
             if not masks[g]:
-                return "production: " + " ".join(name(x) for x in text[max(a, z - 6) : z + 1])
+                return "production: " + _shown(text[max(a, z - 6) : z + 1])
         return None
 
+    def _run(self, state: State, part: str) -> State:
+        """The state after a run of tokens or a whole inner group; both are remembered with the state they start from."""
+        begun = state
+        if part[0] in _OPEN_OF:
+            mask = self._inner.get(part)
+            if mask is None:
+                inside = self.starts.get(_OPEN_OF[part[0]], self.dead)
+                for sub in self._parts.findall(part[1:-1]):
+                    inside = inside.to.get(sub) or self._run(inside, sub)
+                    if inside is self.dead:
+                        break
+                mask = self._inner[part] = self.accepted(inside)
+            symbol = (_OPEN_OF[part[0]], mask)
+            state = state.to.get(symbol) or self.step(state, symbol)
+        else:
+            for c in part:
+                state = state.to.get(c) or self.step(state, c)
+                if state is self.dead:
+                    break
+        begun.to[part] = state
+        self.held += 1
+        return state
+
+    def _where(self, state: State, text: str, masks: list[int]) -> str:
+        """The fault of a group, token by token."""
+        child = 0
+        for m in self._parts.finditer(text):
+            part = m.group()
+            if part in self.closers:
+                steps = [(m.end(), (part, masks[child]))]
+                child += 1
+            elif part[0] in _OPEN_OF:
+                self._run(state, part)
+                steps = [(m.end(), (_OPEN_OF[part[0]], self._inner[part]))]
+            else:
+                steps = [(m.start() + k + 1, c) for k, c in enumerate(part)]
+            for end, symbol in steps:
+                state = state.to.get(symbol) or self.step(state, symbol)
+                if state is self.dead:
+                    return "production: " + _shown(text[max(0, end - 7) : end])
+        return "production"
+
+
+def _shown(text: str) -> str:
+    return " ".join(name(c) for c in text)
+
 
-_PAIRED = {INLINE[c]: o for o, c in ("()", "[]", "{}")}

@@ -75,7 +75,7 @@ _WORDY = {lang for lang, g in GRAMMARS.items() if any(len(name(c)) > 1 for c in
 def token_rows(lang: str, text: str) -> tuple[list[str], list[int], list[str]]:
     """Runs of tokens, each up to a bracket; how that bracket changes the depth; distinct adjacent pairs."""
     cls = LEXERS[lang](text)
-    pairs = sorted(token_pairs(cls))
+    pairs = token_pairs(cls)
     split, turn = _SPLIT[lang]
     if lang not in _WORDY:
         cls = _inner_groups_marked(cls)
