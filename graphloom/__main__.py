@@ -1,54 +1,88 @@
-"""python -m graphloom scan|query|export|rpc|view ROOT ...: front doors over one scan."""
+"""python -m graphloom scan|query|export|rpc|view ROOT ...: front doors over one scan; ROOT alone means view.
+
+ROOT is a folder, or for query and rpc also a document saved by ``export ROOT json``.
+"""
 
 from __future__ import annotations
 
 import argparse
 import http.server
 import json
+import os
 import sys
+import tempfile
 
 from pyspark.sql import functions as F
 
 from graphloom.operators import export, graph
-from graphloom.operators.scan import counters, scan
-from graphloom.operators.stats import coverage
+from graphloom.operators.scan import scan
+from graphloom.operators.summary import project_summaries, summary, text, totals
 from graphloom.plans.atlas import Atlas, NotAQuestion, parse, render
 from graphloom.plans.shared import materialise
 from graphloom.session import get_spark
 from graphloom.sources.tree import SourceTree
 
+COMMANDS = ("scan", "query", "export", "rpc", "view")
+
 
 def _scan(spark, root: str):
     spark.dataSource.register(SourceTree)
-    return scan(spark.read.format("source_tree").option("path", root).load(), store=materialise)
-
-
-def report(s) -> str:
-    cov = coverage(s.files.where(F.col("excluded_by").isNull() & ~F.col("is_symlink")).withColumn("status", F.col("status")))
-    rates = counters(s).where(F.col("level") == 0).groupBy("lang").agg(F.sum("files").alias("files"), F.sum("resolved").alias("r"), F.sum("unresolved").alias("u"))
-    rates = rates.select("lang", "files", F.when(F.col("r") + F.col("u") == 0, 1.0).otherwise(F.col("r") / (F.col("r") + F.col("u"))).alias("resolution_rate")).orderBy(F.desc("files"), "lang")
-    d = lambda df: [r.asDict() for r in df.collect()]
-    return export.markdown_report(d(cov.orderBy("project")), d(rates), d(graph.hubs(s.edges, 15)), d(s.diagnostics.orderBy("project", "path", "seq").limit(500)))
-
-
-def documents(s, form: str) -> str:
-    nodes, edges = s.nodes, s.edges
-    if form in ("json", "yaml"):
-        text = "[" + ",\n".join(r["json"] for r in export.document(nodes, edges).orderBy("project").toLocalIterator()) + "]"
-        return text if form == "json" else export.yaml_text(text)
-    if form == "md":
-        return report(s)
-    rows = (export.graphml_rows if form == "graphml" else export.cypher_rows)(nodes, edges).orderBy(F.desc("part"), "id")
-    lines = [r["line"] for r in rows.toLocalIterator()]
-    return "\n".join([export.GRAPHML_HEAD, *lines, export.GRAPHML_TAIL] if form == "graphml" else lines) + "\n"
-
-
-ROUTES = {"/graph.json": "json", "/export/graph.json": "json", "/export/graph.graphml": "graphml", "/export/graph.cypher": "cypher", "/export/graph.yaml": "yaml", "/export/report.md": "md"}
-
-
-def route(s, path: str) -> tuple[int, str]:
-    form = ROUTES.get(path.split("?")[0])
-    return (200, documents(s, form)) if form else (404, "not found")
+    return scan(spark.read.format("source_tree").option("path", root).load())
+
+
+def _atlas(spark, root: str) -> Atlas:
+    if os.path.isfile(root):
+        return Atlas(*export.read_document(spark, root), root=root)
+    s = _scan(spark, root)
+    return Atlas(s.nodes, s.edges, s, root)
+
+
+def save(s, form: str, to: str, root: str = ".") -> None:
+    """Write one form of the scan into the file ``to``; the vault into the folder ``to``."""
+    if form == "vault":
+        export.write_notes(export.note_lines(s.nodes, s.edges, s.diagnostics), to, export.index_note(summary(s, root)))
+    elif form == "md":
+        with open(to, "w", encoding="utf-8") as f:
+            f.write(export.markdown_report(summary(s, root)))
+    elif form == "graphml":
+        export.one_file(export.graphml_rows(s.nodes, s.edges), [F.desc("part"), F.length("id"), "id"], to, export.GRAPHML_HEAD, export.GRAPHML_TAIL)
+    elif form == "cypher":
+        export.one_file(export.cypher_rows(s.nodes, s.edges), [F.desc("part"), "id"], to, export.CYPHER_HEAD)
+    else:
+        per = materialise(project_summaries(s), "projects")
+        head, tail = export.document_frame(root, totals(per).first().asDict())
+        records = per.select("project", F.to_json(F.struct(*[c for c in per.columns if c != "project"])).alias("record"))
+        export.one_file(export.document_lines(s.nodes, s.edges, records), export.DOCUMENT_ORDER, to, head, tail)
+        if form == "yaml":
+            with open(to, encoding="utf-8") as f:
+                made = export.yaml_text(f.read())
+            with open(to, "w", encoding="utf-8") as f:
+                f.write(made)
+
+
+#: form and content type of each route; ``/`` leads to the document
+ROUTES = {
+    "/": ("json", "application/json"), "/graph.json": ("json", "application/json"), "/export/graph.json": ("json", "application/json"), "/export/graph.graphml": ("graphml", "application/xml"),
+    "/export/graph.cypher": ("cypher", "text/plain; charset=utf-8"), "/export/graph.yaml": ("yaml", "text/yaml; charset=utf-8"), "/export/report.md": ("md", "text/markdown; charset=utf-8"),
+}
+
+
+class Pages:
+    """Answers to GET requests; each form is made once for a scan, on its first request."""
+
+    def __init__(self, s, root: str = "."):
+        self.s, self.root, self.folder = s, root, tempfile.TemporaryDirectory(prefix="graphloom-pages-")
+
+    def get(self, path: str) -> tuple[int, str, str]:
+        """(status, content type, file name or text)."""
+        found = ROUTES.get(path.split("?")[0])
+        if not found:
+            return 404, "text/plain; charset=utf-8", f"nothing at {path}"
+        form, kind = found
+        to = os.path.join(self.folder.name, form)
+        if not os.path.exists(to):
+            save(self.s, form, to, self.root)
+        return 200, kind, to
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -66,6 +100,9 @@ def main(argv: list[str] | None = None) -> int:
     x.add_argument("root")
     x.add_argument("form", choices=["json", "yaml", "graphml", "cypher", "md", "vault"])
     x.add_argument("--to")
+    argv = sys.argv[1:] if argv is None else argv
+    if argv and argv[0] not in COMMANDS and not argv[0].startswith("-"):
+        argv = ["view", *argv]
     args = ap.parse_args(argv)
     question = None
     if args.command == "query":
@@ -74,36 +111,45 @@ def main(argv: list[str] | None = None) -> int:
         except NotAQuestion:
             print("not a question this tool knows", file=sys.stderr)
             return 2
-    s = _scan(get_spark(), args.root)
-    if args.command == "scan":
-        print(report(s))
-    elif args.command == "export" and args.form == "vault":
-        export.write_notes(export.notes(s.nodes, s.edges, s.diagnostics), args.to)
-    elif args.command == "export":
-        text = documents(s, args.form)
-        if args.to:
-            with open(args.to, "w", encoding="utf-8") as f:
-                f.write(text)
-        else:
-            print(text)
-    elif args.command == "query":
+    spark = get_spark()
+    if args.command == "query":
         if args.depth:
             question.depth = args.depth
-        a = Atlas(s.nodes, s.edges).answer(question, args.limit)
+        a = _atlas(spark, args.root).answer(question, args.limit)
         print(json.dumps(a.record(), default=str) if args.json else render(a))
         return int(a.kind == "unlocated")
-    elif args.command == "rpc":
+    if args.command == "rpc":
         from graphloom.rpc import serve
 
-        serve(Atlas(s.nodes, s.edges))
+        serve(_atlas(spark, args.root))
+        return 0
+    s = _scan(spark, args.root)
+    if args.command == "scan":
+        print(text(summary(s, args.root)), end="")
+    elif args.command == "export" and (args.to or args.form == "vault"):
+        save(s, args.form, args.to or "vault", args.root)
+    elif args.command == "export":
+        with tempfile.TemporaryDirectory() as folder:
+            to = os.path.join(folder, args.form)
+            save(s, args.form, to, args.root)
+            with open(to, encoding="utf-8") as f:
+                for line in f:
+                    print(line, end="")
     else:
+        pages = Pages(s, args.root)
 
         class Handler(http.server.BaseHTTPRequestHandler):
             def do_GET(self):  # noqa: N802
-                code, body = route(s, self.path)
+                code, kind, found = pages.get(self.path)
                 self.send_response(code)
+                self.send_header("Content-Type", kind)
                 self.end_headers()
-                self.wfile.write(body.encode())
+                if code != 200:
+                    self.wfile.write(found.encode())
+                    return
+                with open(found, "rb") as f:
+                    while chunk := f.read(1 << 20):
+                        self.wfile.write(chunk)
 
         server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
         print(f"http://127.0.0.1:{server.server_port}/graph.json", flush=True)

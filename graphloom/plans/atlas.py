@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph
 from graphloom.operators.stats import external_packages, kind_counts
+from graphloom.operators.summary import summary
 
 # --- fixed values: the accepted forms, in the order in which they are tried ------------------------------
 FORMS = [
@@ -38,6 +39,10 @@ FORMS = [
 # --- end of fixed values ---------------------------------------------------------------------------------
 
 
+#: Files named in the answer to an ambiguous path; its total is never cut.
+CANDIDATES_SHOWN = 10
+
+
 @dataclass
 class Question:
     kind: str
@@ -75,18 +80,22 @@ class Answer:
 class Atlas:
     """Answers over (nodes, edges). Only envelopes come to the driver: the shown rows and counts."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame):
-        self.nodes, self.edges = nodes, edges
+    def __init__(self, nodes: DataFrame, edges: DataFrame, scan=None, root: str = "."):
+        """``scan``, where there is one, gives the summary its rates, coverage and gaps."""
+        self.nodes, self.edges, self.scan, self.root = nodes, edges, scan, root
 
     def answer(self, q: Question, limit: int = graph.LIST_LIMIT) -> Answer:
         if q.kind == "summary":
             return self._summary()
         if q.kind == "package_users":
             return self._package(q.subject, limit)
-        found = graph.locate(self.nodes, q.subject).orderBy("project", "id").limit(1001).collect()
+        where = graph.locate(self.nodes, q.subject)
+        found = where.orderBy("project", "id").limit(CANDIDATES_SHOWN + 1).collect()
         if len(found) != 1:
             near = [] if found else [_ref(r) for r in graph.suggest(self.nodes, q.subject).collect()]
-            return Answer("unlocated", q.subject, len(found), [_ref(r) for r in found], 0, {"reason": "ambiguous" if found else "not_found", "suggestions": near})
+            total = len(found) if len(found) <= CANDIDATES_SHOWN else where.count()
+            shown = found[:CANDIDATES_SHOWN]
+            return Answer("unlocated", q.subject, total, [_ref(r) for r in shown], total - len(shown), {"reason": "ambiguous" if found else "not_found", "suggestions": near})
         subject = self.nodes.sparkSession.createDataFrame([(found[0]["project"], found[0]["id"])], "project string, id string")
         if q.kind == "blast_radius":
             return self._blast(subject, _ref(found[0]), q.depth, limit)
@@ -114,8 +123,12 @@ class Atlas:
         return Answer("package_users", name.strip(), total, [_ref(r) for r in rows], max(0, total - len(rows)), {"near_misses": near, "indexed": indexed})
 
     def _summary(self) -> Answer:
+        if self.scan is not None:
+            return Answer("summary", extra=summary(self.scan, self.root))
         kinds = [r.asDict() for r in kind_counts(self.nodes).orderBy("project", "kind").collect()]
-        return Answer("summary", extra={"nodes": self.nodes.count(), "edges": self.edges.count(), "kinds": kinds, "packages": [r.asDict() for r in external_packages(self.nodes).orderBy("project").collect()], "hubs": [{"id": _ref(r), "dependents": r["dependents"]} for r in graph.hubs(self.edges).collect()]})
+        packages = [r.asDict() for r in external_packages(self.nodes).orderBy("project").collect()]
+        hubs = [{"id": _ref(r), "dependents": r["dependents"]} for r in graph.hubs(self.edges).collect()]
+        return Answer("summary", extra={"root": self.root, "totals": {"nodes": self.nodes.count(), "edges": self.edges.count()}, "kinds": kinds, "packages": packages, "hubs": hubs})
 
 
 def _ref(r) -> str:
@@ -125,13 +138,21 @@ def _ref(r) -> str:
 def render(a: Answer) -> str:
     """The answer as text; the same for every front door."""
     if a.kind == "summary":
-        out = [f"{a.extra['nodes']} files, {a.extra['edges']} edges"]
-        out += [f"  {k['project']}: {k['files']} {k['kind'].replace('_', ' ')}" for k in a.extra["kinds"]]
+        t = a.extra["totals"]
+        out = [a.extra["root"], f"{t['nodes']} files, {t['edges']} edges"]
+        if "projects" in t:
+            out += [f"{t['projects']} project(s), resolution rate {t['resolution_rate']:.4f}, source coverage {t['source_coverage']:.4f}", f"{t['files_analysed']} files analysed, {t['files_unsupported']} not read"]
+        for p in a.extra.get("projects", []):
+            if t["projects"] > 1:
+                out += ["", f"{p['project']}: {p['nodes']} files, {p['edges']} edges, rate {p['resolution_rate']:.4f}, coverage {p['source_coverage']:.4f}"]
+            out += [f"  {x['lang']:<14} {x['resolution_rate']:.4f}  ({x['files']} files, {x['edges']} edges)" for x in p["by_lang"]]
+            out += [f"  not read: {g['extension']} {g['files']} ({g['lang'] or 'unrecognised'})" for g in p["gaps"]]
+        out += [f"  {k['project']}: {k['files']} {k['kind'].replace('_', ' ')}" for k in a.extra.get("kinds", [])]
         return "\n".join([*out, *[f"  hub {h['id']} ({h['dependents']})" for h in a.extra["hubs"]]])
     if a.kind == "unlocated":
         if a.extra["reason"] == "ambiguous":
-            more = [f"  {len(a.shown) - 10} more"] if len(a.shown) > 10 else []
-            return "\n".join([f"{a.subject} is ambiguous: {a.total} files", *[f"  {x}" for x in a.shown[:10]], *more])
+            more = [f"  {a.omitted} more"] if a.omitted else []
+            return "\n".join([f"{a.subject} is ambiguous: {a.total} files", *[f"  {x}" for x in a.shown], *more])
         return "\n".join([f"no file matches {a.subject}", *[f"  did you mean {x}?" for x in a.extra["suggestions"]]])
     what = {"dependents": "files depend on", "dependencies": "files are imported by", "blast_radius": "files could be reached from", "package_users": "files use"}[a.kind]
     out = [f"{a.total} {what} {a.subject}", *[f"  {x}" for x in a.shown]]

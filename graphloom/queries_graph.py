@@ -158,7 +158,7 @@ def visible_edges(spark, d):
 
 
 def filter_unresolved(spark, d):
-    return graph.visible(_n(spark, d), _e(spark, d), unresolved=_d(spark, d).where(F.col("kind") == "unresolved"))
+    return graph.visible(_n(spark, d), _e(spark, d), unresolved=_d(spark, d))
 
 
 def folder_rollup(spark, d):
@@ -182,7 +182,8 @@ def export_cypher_rows(spark, d):
 
 
 def vault_notes(spark, d):
-    return export.notes(_n(spark, d), _e(spark, d), _d(spark, d))
+    """The lines of all notes."""
+    return export.note_lines(_n(spark, d), _e(spark, d), _d(spark, d))
 
 
 def communities(spark, d):
@@ -279,7 +280,7 @@ SELECT project, id, round((100 - least(pos, 60) + CASE WHEN prefix(name, 'index'
     "search_empty": _w("SELECT project, id, coalesce(dependents, 0)::DOUBLE AS score FROM n LEFT JOIN ind USING (project, id) WHERE kind <> 'asset' ORDER BY score DESC, project, id LIMIT 40"),
     "filter_visible": _w(_VIS + " SELECT * FROM v"),
     "visible_edges": _w(_VIS + " SELECT e.* FROM e SEMI JOIN v a ON a.project = e.project AND a.id = e.source SEMI JOIN v b ON b.project = e.project AND b.id = e.target"),
-    "filter_unresolved": _w("SELECT project, id FROM n SEMI JOIN (SELECT project, path AS id FROM dg WHERE kind = 'unresolved') x USING (project, id)"),
+    "filter_unresolved": _w("SELECT project, id FROM n SEMI JOIN (SELECT project, path AS id FROM dg) x USING (project, id)"),
     "folder_rollup": _w(f"""+p AS (SELECT project, {_DIR.format('id')} AS folder, coalesce(lang, 'unknown') AS lang, count(*) AS k, max({_KIND}) AS kind FROM n GROUP BY ALL),
 t AS (SELECT project, folder, sum(k)::BIGINT AS members, max(kind) AS kind FROM p GROUP BY ALL),
 m AS (SELECT project, folder, lang FROM (SELECT *, row_number() OVER (PARTITION BY project, folder ORDER BY k DESC, lang) AS rn FROM p) WHERE rn = 1)
@@ -290,3 +291,53 @@ s AS (SELECT project, id, k, array_to_string(list_slice(string_split(id, '/'), l
 u AS (SELECT project, suffix FROM s GROUP BY ALL HAVING count(*) = 1)
 SELECT project, id, coalesce((SELECT min_by(s.suffix, s.k) FROM s JOIN u ON u.project = s.project AND u.suffix = s.suffix WHERE s.project = n.project AND s.id = n.id), id) AS label FROM n"""),
 }
+
+# --- sinks -------------------------------------------------------------------------------------------------
+
+_Q = "(CASE WHEN {0} = '.' THEN {1} WHEN {0} IS NULL THEN {1} ELSE {0} || '/' || {1} END)"
+_QN, _QS, _QT = (_Q.format("project", c) for c in ("id", "source", "target"))
+
+
+def _sql_replaced(text: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        text = f"replace({text}, {old}, {new})"
+    return text
+
+
+def _sql_xml(text: str) -> str:
+    return _sql_replaced(text, [("'&'", "'&amp;'"), ("'<'", "'&lt;'"), ("'>'", "'&gt;'"), ("'\"'", "'&quot;'"), ("chr(39)", "'&apos;'")])
+
+
+def _sql_cypher(text: str) -> str:
+    inner = _sql_replaced(text, [("chr(92)", "chr(92) || chr(92)"), ("'\"'", "chr(92) || '\"'"), ("chr(10)", "chr(92) || 'n'"), ("chr(13)", "chr(92) || 'r'"), ("chr(9)", "chr(92) || 't'")])
+    return f"('\"' || {inner} || '\"')"
+
+
+def _sql_link(target: str) -> str:
+    return f"(CASE WHEN regexp_matches({target}, '[\\[\\]#|^]') THEN '[' || regexp_extract({target}, '[^/]*$') || '](<' || {target} || '.md>)' ELSE '[[' || {target} || ']]' END)"
+
+
+_C = "coalesce({0}::VARCHAR, '')"
+_NODE_DATA = " || ".join(f"'<data key=\"{k}\">' || {v} || '</data>'" for k, v in {"path": _sql_xml(_C.format("path")), "project": _sql_xml(_C.format("project")), "lang": _sql_xml(_C.format("lang")), "kind": _C.format("kind"), "loc": "coalesce(loc, 0)::VARCHAR", "bytes": "coalesce(bytes, 0)::VARCHAR"}.items())
+_LANG = "coalesce(lang, 'unknown')"
+SQL |= {
+    "export_graphml_rows": _w(f"""SELECT 'node' AS part, {_QN} AS id, '<node id="' || {_sql_xml(_QN)} || '">' || {_NODE_DATA} || '</node>' AS line FROM n
+UNION ALL SELECT 'edge', 'e' || k, '<edge id="e' || k || '" source="' || {_sql_xml(_QS)} || '" target="' || {_sql_xml(_QT)} || '"/>' FROM (SELECT *, row_number() OVER (ORDER BY project NULLS FIRST, source, target) - 1 AS k FROM e)"""),
+    "export_cypher_rows": _w(f"""SELECT 'node' AS part, {_QN} AS id, 'MERGE (f:File {{id: ' || {_sql_cypher(_QN)} || '}}) SET f.path = ' || {_sql_cypher(_C.format('path'))} || ', f.project = ' || {_sql_cypher(_C.format('project'))} || ', f.lang = ' || {_sql_cypher(_C.format('lang'))}
+ || ', f.kind = ' || {_sql_cypher(_C.format('kind'))} || ', f.loc = ' || coalesce(loc, 0) || ', f.bytes = ' || coalesce(bytes, 0) || ';' AS line FROM n
+UNION ALL SELECT 'edge', {_QS} || ' -> ' || {_QT}, 'MATCH (a:File {{id: ' || {_sql_cypher(_QS)} || '}}), (b:File {{id: ' || {_sql_cypher(_QT)} || '}}) MERGE (a)-[:IMPORTS]->(b);' FROM e"""),
+    "vault_notes": _w(f"""+i AS (SELECT project, target AS id, count(*) AS k FROM e GROUP BY ALL), o AS (SELECT project, source AS id, count(*) AS k FROM e GROUP BY ALL),
+x AS (SELECT n.*, coalesce(i.k, 0) AS dependents, coalesce(o.k, 0) AS dependencies, {_Q.format('n.project', 'n.id')} AS note FROM n LEFT JOIN i ON i.project IS NOT DISTINCT FROM n.project AND i.id = n.id LEFT JOIN o ON o.project IS NOT DISTINCT FROM n.project AND o.id = n.id),
+p AS (SELECT DISTINCT note, name FROM (SELECT note, unnest(external_deps) AS name FROM x) WHERE name IS NOT NULL),
+g AS (SELECT {_Q.format('dg.project', 'dg.path')} AS note, dg.* FROM dg SEMI JOIN n ON n.project IS NOT DISTINCT FROM dg.project AND n.id = dg.path)
+SELECT note, 0 AS section, '' AS key, '---' || chr(10) || 'path: "' || coalesce(path, '') || '"' || chr(10) || 'project: "' || coalesce(project, '') || '"' || chr(10) || 'lang: ' || {_LANG} || chr(10) || 'kind: ' || coalesce(kind, '') || chr(10) || 'loc: ' || coalesce(loc, 0) || chr(10) || 'bytes: ' || coalesce(bytes, 0)
+ || chr(10) || 'dependents: ' || dependents || chr(10) || 'dependencies: ' || dependencies || chr(10) || 'tags: [code/' || {_LANG} || ', code/' || coalesce(kind, '') || ']' || chr(10) || '---' || chr(10) || chr(10) || '# ' || regexp_extract(id, '[^/]*$') || chr(10) || chr(10) || '`' || coalesce(path, '') || '` · ' || {_LANG} || ' · ' || coalesce(loc, 0) || ' lines' || chr(10) AS line FROM x
+UNION ALL SELECT note, 1, '', '## Imported by (' || dependents || ')' || chr(10) FROM x WHERE dependents > 0
+UNION ALL SELECT note, 3, '', '## Imports (' || dependencies || ')' || chr(10) FROM x WHERE dependencies > 0
+UNION ALL SELECT {_QT}, 2, source, '- ' || {_sql_link(_QS)} FROM e SEMI JOIN n ON n.project IS NOT DISTINCT FROM e.project AND n.id = e.target
+UNION ALL SELECT {_QS}, 4, target, '- ' || {_sql_link(_QT)} FROM e SEMI JOIN n ON n.project IS NOT DISTINCT FROM e.project AND n.id = e.source
+UNION ALL SELECT DISTINCT note, 5, '', '## External packages' || chr(10) FROM p
+UNION ALL SELECT note, 6, name, '- `' || name || '`' FROM p
+UNION ALL SELECT DISTINCT note, 7, '', '## Imports that did not resolve' || chr(10) FROM g
+UNION ALL SELECT note, 8, lpad(coalesce(seq, 0)::VARCHAR, 12, '0'), '- `' || coalesce(specifier, '') || '` — line ' || coalesce(line::VARCHAR, '?') || ', ' || replace(coalesce(reason, 'unknown'), '_', ' ') FROM g"""),
+}
