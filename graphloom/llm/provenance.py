@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +61,10 @@ _LINE, _BLOCK = r"(?://|#|--|;|%|\*)[^\n]*+", r"/\*(?:[^*]|\*(?!/))*+\*/|<!--(?:
 _LEAD = rf"\A(?:\s++|{_BLOCK}|/\*[^\n]*+|{_LINE}|\"\"\"(?:[^\"\\]|\\(?s:.)|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\\\]|\\\\(?s:.)|'(?!''))*+'''|(?m:<\?(?:php\b|xml\b[^>\n]*+>)|package [\w.]++;?$|[\"']use strict[\"'];?$))*+"
 #: the same from the end, over the reversed text: blocks read alike from both sides
 _TRAIL = r"\A(?:\s++|[^\n]*?(?://|#|--|;|%)[ \t]*+(?=\n|\z)|/\*(?:[^*]|\*(?!/))*+\*/(?=[ \t]*+(?:\n|\z))|>--(?:[^-]|-(?!-!<))*+--!<(?=[ \t]*+(?:\n|\z)))*+"
+#: lines of the lead that are code
+_NO_COMMENT = r"(?m)^[ \t]*+(?:package [\w.]++;?|[\"']use strict[\"'];?|<\?(?:php\b|xml\b[^>\n]*+>))[ \t]*+$"
 _QUOTED_DEFINE = r"(?m)^[ \t]*+#[ \t]*+define\b[^\n\"']*+[\"'][^\n]*+"
 _HAND_LINE = rf"(?m)^[ \t]*+(?:/?\*|//|#|--|;|%)[^\n]*?(?:{HAND_BANNER})"
-_HEAD = r"(?s)^\s*(?:(?:#!|//|#|--|/\*|\*|<!--|;|%)[^\n]*\n?\s*|\"\"\".{0,400}?\"\"\"\s*){0,12}"
 
 
 def features(tree: DataFrame) -> DataFrame:
@@ -76,8 +79,8 @@ def features(tree: DataFrame) -> DataFrame:
     text = tree.where(F.col("content").isNotNull()).select("project", plain(F.col("path")).alias("path"), decoded(F.col("content")).alias("t"))
     code = text.select("project", "path", "t", F.trim(F.regexp_replace("t", _COMMENT, "")).alias("c"))
     code = code.select("*", F.regexp_replace("c", r"\s++", "").alias("tight"), F.regexp_replace("c", _LITERAL, "").alias("bare"))
-    head = F.regexp_extract("t", _HEAD, 0)
-    edges = F.concat_ws("\n", F.regexp_extract("t", _LEAD, 0), F.reverse(F.regexp_extract(F.reverse("t"), _TRAIL, 0)))
+    head = F.regexp_extract("t", _LEAD, 0)
+    edges = F.concat_ws("\n", head, F.reverse(F.regexp_extract(F.reverse("t"), _TRAIL, 0)))
     edges = F.lower(F.regexp_replace(edges, _QUOTED_DEFINE, ""))
     n, lines = F.length("c"), F.regexp_count("c", F.lit(r"(?m)^[ \t]*+\S"))
     spaces = F.length("c") - F.length("tight")
@@ -87,7 +90,7 @@ def features(tree: DataFrame) -> DataFrame:
     long_line = F.length("c") - F.length(F.regexp_replace("c", r"[^\n]{300,}+", ""))
     out = code.select(
         "project", "path", F.xxhash64("tight").alias("code_hash"), F.length("tight").alias("code_chars"),
-        F.rlike(edges, F.lit("(?m)" + GENERATED_BANNER)).alias("banner"), F.rlike(edges, F.lit(HAND_BANNER)).alias("hand"), F.rlike(F.lower("t"), F.lit(_HAND_LINE)).alias("by_hand"), F.rlike(head, F.lit(r"[A-Za-z]{3}")).alias("headed"), F.rlike(edges, F.lit("(?m)" + VENDOR_BANNER)).alias("vendor"),
+        F.rlike(edges, F.lit("(?m)" + GENERATED_BANNER)).alias("banner"), F.rlike(edges, F.lit(HAND_BANNER)).alias("hand"), F.rlike(F.lower("t"), F.lit(_HAND_LINE)).alias("by_hand"), F.rlike(F.regexp_replace(head, _NO_COMMENT, ""), F.lit(r"[A-Za-z]{3}")).alias("headed"), F.rlike(edges, F.lit("(?m)" + VENDOR_BANNER)).alias("vendor"),
         ((n >= BULK_CHARS) & (n > 140 * lines) & (spaces < 0.10 * n) | (n >= BULK_CHARS) & (long_line > 0.6 * n) & (spaces < 0.08 * n) & ((short_names > 0.3 * names) | (spaces < 0.05 * n))).alias("minified"),
         ((F.length("tight") >= BULK_CHARS) & (rest < 0.06 * F.length("tight") + 60) & (rest < 0.25 * F.length("tight"))).alias("data"),
     )
@@ -139,24 +142,50 @@ def file_evidence(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     return x.select("project", "path", dir_name(F.col("path")).alias("dir"), *[c.alias(f"e{k}") for k, c in enumerate(e)])
 
 
-def _log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(_add(*[F.exp(t - top) for t in terms]))
+def _log_sum(terms: Column) -> Column:
+    """log of the sum of exponentials of an array."""
+    return F.aggregate(
+        F.array(F.array_max(terms)),
+        F.lit(0.0).cast("double"),
+        lambda _, top: top + F.log(F.aggregate(terms, F.lit(0.0).cast("double"), lambda acc, t: acc + F.exp(t - top))),
+    )
+
+
+def _logs(rows) -> Column:
+    return F.array(*[F.array(*[F.lit(math.log(x)) for x in row]) for row in rows])
 
 
-def _up(psi, values: list[Column]) -> list[Column]:
+def _message(rows, values: Column) -> Column:
+    """For each row of ``rows``, log of the sum over k of row[k] * exp(values[k])."""
+    return F.transform(_logs(rows), lambda row: _log_sum(F.zip_with(values, row, lambda v, w: v + w)))
+
+
+def _up(psi, values: Column) -> Column:
     """Message to the upper label p: log of the sum over lower labels c of psi[p][c] * exp(values[c])."""
-    return [_log_sum([values[c] + F.lit(float(F_log(psi[p][c]))) for c in range(5)]) for p in range(5)]
+    return _message(psi, values)
+
+
+def _down(psi, values: Column) -> Column:
+    return _message(list(zip(*psi)), values)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
 
+_U = [f"u{k}" for k in range(5)]
 
-def _down(psi, values: list[Column]) -> list[Column]:
-    return [_log_sum([values[p] + F.lit(float(F_log(psi[p][c]))) for p in range(5)]) for c in range(5)]
 
+def _spread(values: str, names: list[str]) -> list[Column]:
+    return [F.col(values)[k].alias(n) for k, n in enumerate(names)]
 
-def F_log(x: float) -> float:
-    import math
 
-    return math.log(x)
+def _summed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _U])
 
 
 def _dir_evidence(path: Column) -> list[Column]:
@@ -173,43 +202,36 @@ def beliefs(evidence: DataFrame) -> DataFrame:
     directories are summed before they are shuffled, so a directory that holds a
     third of all files costs a row per input partition. Null projects form one project.
     """
-    e = [F.col(f"e{k}") for k in range(5)]
-    files = materialise(evidence.select("*", *[m.alias(f"m{k}") for k, m in enumerate(_up(FILE_IN_DIR, e))]), "files")
-    held = files.groupBy("project", "dir").agg(*[F.sum(f"m{k}").alias(f"u{k}") for k in range(5)])
+    files = materialise(evidence.select("project", "path", "dir", F.array(*[f"e{k}" for k in range(5)]).alias("e")), "evidence-of-files")
+    files = files.withColumn("m", _up(FILE_IN_DIR, F.col("e")))
+    held = _summed(files.select("project", "dir", *_spread("m", _U)), ["project", "dir"])
     parts = F.split("dir", "/")
     chain = F.concat(F.array(F.lit("")), F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))))
-    every = held.select("project", F.explode(chain).alias("dir")).distinct().select("project", "dir", *[x.alias(f"u{k}") for k, x in enumerate(_dir_evidence(F.col("dir")))])
+    every = held.select("project", F.explode(chain).alias("dir")).distinct().select("project", "dir", *[x.alias(u) for u, x in zip(_U, _dir_evidence(F.col("dir")))])
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-    dirs = materialise(held.unionByName(every).groupBy("project", "dir").agg(*[F.sum(f"u{k}").alias(f"u{k}") for k in range(5)]).withColumn("depth", depth), "dirs")
+    # a folder a level, so that each round reads its own directories only
+    dirs = materialise(_summed(held.unionByName(every), ["project", "dir"]).withColumn("depth", depth), "dirs", ["depth"])
     deepest = dirs.agg(F.max("depth")).first()[0]
     if deepest is None:
         return files.select("project", "path", F.lit(LABELS[0]).alias("label"), F.lit(1.0).alias("p_hand"))
-    u = [F.col(f"u{k}") for k in range(5)]
     levels, come = {}, None
     for level in range(deepest, -1, -1):
-        own = dirs.where(F.col("depth") == level).select("project", "dir", *[f"u{k}" for k in range(5)])
+        own = dirs.where(F.col("depth") == level).select("project", "dir", *_U)
         if come is not None:
-            own = own.unionByName(come).groupBy("project", "dir").agg(*[F.sum(f"u{k}").alias(f"u{k}") for k in range(5)])
-        levels[level] = materialise(own.select("*", *[m.alias(f"m{k}") for k, m in enumerate(_up(DIR_IN_DIR, u))]), "level")
-        come = levels[level].select("project", dir_name(F.col("dir")).alias("dir"), *[F.col(f"m{k}").alias(f"u{k}") for k in range(5)])
-    total = levels[0].select("project", "dir", *[(u[k] + F.lit(ROOT_PRIOR[k])).alias(f"t{k}") for k in range(5)])
+            own = _summed(own.unionByName(come), ["project", "dir"])
+        levels[level] = materialise(own.select("project", "dir", F.array(*_U).alias("u")).withColumn("m", _up(DIR_IN_DIR, F.col("u"))), "level")
+        come = levels[level].select("project", dir_name(F.col("dir")).alias("dir"), *_spread("m", _U))
+    total = levels[0].select("project", "dir", _plus(F.col("u"), F.array(*[F.lit(x) for x in ROOT_PRIOR])).alias("t"))
     found = total
     for level in range(1, deepest + 1):
-        up = total.select(F.col("project").alias("_p"), F.col("dir").alias("_d"), *[F.col(f"t{k}") for k in range(5)])
+        up = total.select(F.col("project").alias("_p"), F.col("dir").alias("_d"), "t")
         below = levels[level].join(up, F.col("project").eqNullSafe(F.col("_p")) & (dir_name(F.col("dir")) == F.col("_d")))
-        d = _down(DIR_IN_DIR, [F.col(f"t{k}") - F.col(f"m{k}") for k in range(5)])
-        total = materialise(below.select("project", "dir", *[(u[k] + d[k]).alias(f"t{k}") for k in range(5)]), "total")
+        total = materialise(below.select("project", "dir", _plus(F.col("u"), _down(DIR_IN_DIR, _minus(F.col("t"), F.col("m")))).alias("t")), "total")
         found = found.unionByName(total)
-    up = found.select(F.col("project").alias("_p"), F.col("dir").alias("_d"), *[f"t{k}" for k in range(5)])
-    d = _down(FILE_IN_DIR, [F.col(f"t{k}") - F.col(f"m{k}") for k in range(5)])
-    both = files.join(up, F.col("project").eqNullSafe(F.col("_p")) & (F.col("dir") == F.col("_d"))).select("project", "path", *[(e[k] + d[k]).alias(f"b{k}") for k in range(5)])
-    b = [F.col(f"b{k}") for k in range(5)]
-    best = F.greatest(*b)
-    label = F.lit(LABELS[0])
-    pick = None
-    for k, name in enumerate(LABELS):
-        pick = F.when(b[k] == best, name) if pick is None else pick.when(b[k] == best, name)
-    return both.select("project", "path", pick.otherwise(label).alias("label"), F.exp(b[0] - _log_sum(b)).alias("p_hand"))
+    up = found.select(F.col("project").alias("_p"), F.col("dir").alias("_d"), "t")
+    both = files.join(up, F.col("project").eqNullSafe(F.col("_p")) & (F.col("dir") == F.col("_d"))).select("project", "path", _plus(F.col("e"), _down(FILE_IN_DIR, _minus(F.col("t"), F.col("m")))).alias("b"))
+    label = F.array(*[F.lit(x) for x in LABELS])[(F.array_position("b", F.array_max("b")) - 1).cast("int")]
+    return both.select("project", "path", label.alias("label"), F.exp(F.col("b")[0] - _log_sum(F.col("b"))).alias("p_hand"))
 
 
 def provenance(nodes: DataFrame, tree: DataFrame) -> DataFrame:
