@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,58 +22,73 @@ class VectorBestFit:
     """Containers with three residual capacities: tokens, documents and attention cost (sum of squared lengths).
 
     A piece goes to the container whose residual vector, after taking it, has the
-    least weighted norm among those where every residual stays non-negative. Of
-    each token residual the first container with room in the other capacities
-    stands for its equals; ``LOOK`` residuals are compared, from the tightest up.
+    least weighted norm among all those where every residual stays non-negative.
+    Containers lie by tokens left, documents left and, in order, attention left: of equal
+    tokens and documents the least sufficient attention is best, and no container
+    whose token term alone reaches the best norm can be better, so the search is exact.
+    A piece that exceeds the attention capacity by itself gets a container of its own.
     """
 
-    LOOK = 8
-
     def __init__(self, capacity: int, max_docs: int, max_attention: float, weights=(1.0, 0.05, 0.05)):
         self.full = (capacity, max_docs, max_attention)
         self.w = [w / f**2 for w, f in zip(weights, self.full, strict=True)]
         self.left: list[list[float]] = []
-        self.levels: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.levels: list[dict[int, list[tuple[float, int]]]] = [{} for _ in range(capacity + 1)]
         self.mask = 0
 
-    def _leave(self, level: int, b: int) -> None:
-        self.levels[level].remove(b)
-        if not self.levels[level]:
-            self.mask &= ~(1 << level)
+    def _leave(self, b: int) -> None:
+        t, d, a = self.left[b]
+        same = self.levels[t][d]
+        del same[bisect_left(same, (a, b))]
+        if not same:
+            del self.levels[t][d]
+            if not self.levels[t]:
+                self.mask &= ~(1 << t)
 
     def _join(self, b: int) -> None:
-        t, d, _ = self.left[b]
+        t, d, a = self.left[b]
         if d > 0:
-            if not self.levels[t]:
-                self.mask |= 1 << t
-            self.levels[t].append(b)
-
-    def put(self, size: int) -> int:
-        cost, best, norm, looked = float(size) * size, -1, None, 0
-        rest, base = self.mask >> size, size
-        while rest and looked < self.LOOK:
+            self.mask |= 1 << t
+            insort(self.levels[t].setdefault(d, []), (a, b))
+
+    def _best(self, size: int, cost: float) -> int:
+        best, norm = -1, None
+        rest, level = self.mask >> size, size
+        w0, w1, w2 = self.w
+        while rest:
             step = (rest & -rest).bit_length() - 1
-            level = base + step
-            b = next((x for x in reversed(self.levels[level]) if self.left[x][2] >= cost), -1)
-            if b >= 0:
-                looked += 1
-                t, d, a = self.left[b]
-                n = self.w[0] * (t - size) ** 2 + self.w[1] * (d - 1) ** 2 + self.w[2] * (a - cost) ** 2
-                if norm is None or n < norm:
-                    best, norm = b, n
+            level += step
+            tokens = w0 * (level - size) ** 2
+            if norm is not None and tokens >= norm:
+                break
+            for d, same in self.levels[level].items():
+                n = tokens + w1 * (d - 1) ** 2
+                if norm is not None and n >= norm:
+                    continue
+                k = bisect_left(same, (cost, -1))
+                if k < len(same):
+                    n += w2 * (same[k][0] - cost) ** 2
+                    if norm is None or n < norm:
+                        best, norm = same[k][1], n
             rest >>= step + 1
-            base = level + 1
-        if best < 0:
-            if size > self.full[0] or cost > self.full[2]:
-                raise ValueError(f"a piece of {size} tokens fits no container")
+            level += 1
+        return best
+
+    def put(self, size: int) -> int:
+        if size > self.full[0]:
+            raise ValueError(f"a piece of {size} tokens fits no container")
+        cost = float(size) * size
+        b = self._best(size, cost)
+        if b < 0:
             self.left.append(list(self.full))
-            best = len(self.left) - 1
+            b = len(self.left) - 1
         else:
-            self._leave(self.left[best][0], best)
-        t, d, a = self.left[best]
-        self.left[best] = [t - size, d - 1, a - cost]
-        self._join(best)
-        return best
+            self._leave(b)
+        t, d, a = self.left[b]
+        self.left[b] = [t - size, d - 1, max(a - cost, 0.0) if cost <= self.full[2] else -1.0]
+        if self.left[b][2] >= 0:
+            self._join(b)
+        return b
 
 
 def _pack_group(capacity: int, max_docs: int, max_attention: float):
@@ -91,43 +108,46 @@ def _pack_group(capacity: int, max_docs: int, max_attention: float):
     return run
 
 
-def pack(sizes: DataFrame, capacity: int = 2048, max_docs: int = 512, max_attention: float | None = None, packer_items: int = PACKER_ITEMS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = 2048, max_docs: int = 64, max_attention: float | None = None, packer_items: int = PACKER_ITEMS) -> DataFrame:
     """(doc_id, piece, text_start, n_tokens, container, place, start) of every text in ``sizes`` (doc_id, n_tokens).
 
     A text longer than ``capacity`` is cut into pieces of ``capacity`` tokens and a
     rest, each with its ``text_start``; no other text is split. ``place`` counts the
     pieces of a container from 0, ``start`` is the first token's position in it.
-    ``max_attention`` bounds the sum of squared piece lengths of a container; its
-    default, ``capacity`` squared, never binds. Texts without tokens (null sizes count as 0) take
+    ``max_attention`` bounds the sum of squared piece lengths of a container of several pieces. Its
+    default is ``capacity`` squared, which is also the least bound under which no text
+    has to be split or left alone with room; the squares of pieces that share a container can't exceed
+    it, so by default it chooses among containers but excludes none. Texts without tokens (null sizes count as 0) take
     a place but no room. Repeated rows are packed once each; an empty table gives no rows.
 
     Pieces are spread by hash over packers of about ``packer_items``. Containers
     left less than full are opened again and their pieces packed once more with
     those of the other packers, in rounds, until one packer holds the rest or a
-    round no longer fills at least half of what it got.
+    round needs no fewer containers for what it got than there were.
     """
     limit = float(capacity) ** 2 if max_attention is None else float(max_attention)
-    piece_max = max(1, min(capacity, int(limit**0.5)))  # as long as both capacities allow
+    piece_max = capacity
     n = F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).cast("bigint")
     cut = F.when(n > piece_max, F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / piece_max))).otherwise(F.array(F.lit(0).cast("bigint")))
     items = sizes.select("doc_id", n.alias("_n"), F.explode(cut).alias("_k")).select(
         "doc_id", F.col("_k").cast("int").alias("piece"), (F.col("_k") * piece_max).alias("text_start"), F.least(F.col("_n") - F.col("_k") * piece_max, F.lit(piece_max)).cast("int").alias("n_tokens")
     )
     rest, out, round_no = materialise(items, "pieces"), None, 0
-    left = rest.count()
+    left, before = rest.count(), None
     while True:
         packers = max(1, -(-left // packer_items))
         spread = rest.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_no)), F.lit(packers)).cast("int"))
         packed = materialise(spread.groupBy("packer").applyInPandas(_pack_group(capacity, max_docs, limit), _PACKED), "packed")
         named = packed.withColumn("container", F.format_string("%d-%d-%d", F.lit(round_no), "packer", "bin"))
         open_ = packed.where(F.col("fill") < CLOSED_AT)
-        again = open_.count() if packers > 1 else 0
-        final = packers == 1 or again == 0 or again * 2 > left
+        firsts = F.col("place") == 0  # one a container
+        used, again, still = packed.agg(F.count_if(firsts), F.count_if(F.col("fill") < CLOSED_AT), F.count_if(firsts & (F.col("fill") < CLOSED_AT))).first()
+        final = packers == 1 or again == 0 or (before is not None and used >= before)
         done = named if final else named.where(F.col("fill") >= CLOSED_AT)
         out = done if out is None else out.unionAll(done)
         if final:
             return out.select("doc_id", "piece", "text_start", "n_tokens", "container", "place", "start")
-        rest, left, round_no = open_.select("doc_id", "piece", "text_start", "n_tokens"), again, round_no + 1
+        rest, left, before, round_no = open_.select("doc_id", "piece", "text_start", "n_tokens"), again, still, round_no + 1
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:

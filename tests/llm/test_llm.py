@@ -100,12 +100,34 @@ def test_packing(spark, packer):
 
 
 def test_packing_constraints(spark):
-    df = spark.createDataFrame([(i, 30) for i in range(40)], "doc_id bigint, n_tokens bigint")
+    df = spark.createDataFrame([(i, 30) for i in range(40)] + [(99, 90)], "doc_id bigint, n_tokens bigint")
     out = packing.pack(df, capacity=100, max_docs=2, max_attention=2000.0).collect()
-    assert max(sum(r.n_tokens**2 for r in out if r.container == c) for c in {r.container for r in out}) <= 2000
+    by = {c: [r.n_tokens for r in out if r.container == c] for c in {r.container for r in out}}
+    assert max(sum(n * n for n in own) for own in by.values() if len(own) > 1) <= 2000 and max(map(len, by.values())) == 2
+    assert [90] in by.values() and len(out) == 41  # no text within the capacity is split
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_best_fit_is_exact():
+    rng = random.Random(4)
+    fit, bins = packing.VectorBestFit(50, 6, 1200.0), []
+    for _ in range(600):
+        size = rng.choice([0, 1, 3, 7, 12, 20, 33, 50])
+        cost, best = size * size, None
+        for k, (t, d, a) in enumerate(bins):
+            if t >= size and d > 0 and a >= cost and a >= 0:
+                n = fit.w[0] * (t - size) ** 2 + fit.w[1] * (d - 1) ** 2 + fit.w[2] * (a - cost) ** 2
+                best = n if best is None else min(best, n)
+        b = fit.put(size)
+        if best is None:
+            assert b == len(bins)
+            bins.append([50, 6, 1200.0])
+        else:
+            t, d, a = bins[b]
+            assert abs(fit.w[0] * (t - size) ** 2 + fit.w[1] * (d - 1) ** 2 + fit.w[2] * (a - cost) ** 2 - best) < 1e-12
+        bins[b] = list(fit.left[b])
+
+
 # --- syntax --------------------------------------------------------------------------------------------
 
 VALID = {
