@@ -122,22 +122,29 @@ def package_near_misses(nodes: DataFrame, name: str, limit: int = SUGGESTIONS) -
     return names.where(any_hit == 0).orderBy("name").limit(limit)
 
 
-def locate(nodes: DataFrame, path: str) -> DataFrame:
+def locate(nodes: DataFrame, path: str, projects: DataFrame | None = None) -> DataFrame:
     """(project, id, rule) of the files a path names; the first rule with hits decides.
 
     Rules: 1 the id itself, 2 ``project/id``, 3 a suffix at a directory
     boundary, 4 the bare file name. Several rows mean that the path is ambiguous.
+    An absolute path is also read below the folder of every project (id, path) that holds it.
     """
     p = path.strip().replace("\\", "/")
+    forms = []
+    if p.startswith("/") and projects is not None:
+        # as many as a path has folders
+        above = projects.where(F.startswith(F.lit(p), F.concat("path", F.lit("/")))).select("path").distinct().collect()
+        forms = sorted(p[len(r["path"]) + 1 :] for r in above)
     while p.startswith("./"):
         p = p[2:]
-    p = p.strip("/")
-    rule = (
-        F.when(F.col("id") == p, 1)
-        .when(F.concat_ws("/", "project", "id") == p, 2)
-        .when(F.endswith(F.col("id"), F.lit("/" + p)), 3)
-        .when((base_name(F.col("id")) == p) & F.lit("/" not in p), 4)
-    )
+    forms.append(p.strip("/"))
+    qualified = F.concat_ws("/", "project", "id")
+    tests = [F.col("id").isin(forms), qualified.isin(forms), *(F.endswith(F.col("id"), F.lit("/" + f)) for f in forms), *(base_name(F.col("id")) == f for f in forms if "/" not in f)]
+    rule, k = F.when(tests[0], 1).when(tests[1], 2), 2 + len(forms)
+    for t in tests[2:k]:
+        rule = rule.when(t, 3)
+    for t in tests[k:]:
+        rule = rule.when(t, 4)
     hits = nodes.select("project", "id", rule.alias("rule")).where(F.col("rule").isNotNull())
     best = hits.agg(F.min("rule")).scalar()
     return hits.where(F.col("rule") == best)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["graphloom.queries_general", "graphloom.queries_graph", "graphloom.queries_sample"]
+_MODULES = ["graphloom.queries_general", "graphloom.queries_graph", "graphloom.queries_sample", "graphloom.queries_views"]
 
 
 def collect(modules=_MODULES):
