@@ -212,10 +212,5 @@ def classify_files(files: DataFrame) -> DataFrame:
     return j.withColumn("status", F.coalesce("status", F.lit("not_source"))).drop("_key", "_by_name", "key", "by_name")
 
 
-def note(status, family):
-    """Remark of a coverage row."""
-    return F.when(status == "unsupported_language", F.lit("no extractor")).when(status == "not_source", F.coalesce(family, F.lit("unrecognised extension"))).when(status == "failed", F.lit("could not be read"))
-
-
 def in_skipped_directory(path):
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in ALWAYS_SKIP]))

@@ -30,22 +30,6 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"(?s)(?<=.)\.[^.]*$", "")
 
 
-def normalise(path: Column) -> Column:
-    """Lexical collapse of ``.`` and ``..``; ``..`` at the root is dropped."""
-    parts = F.aggregate(
-        F.split(path, "/"),
-        F.array().cast("array<string>"),
-        lambda acc, p: F.when(p.isin("", "."), acc)
-        .when(p == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc))
-        .otherwise(F.concat(acc, F.array(p))),
-    )
-    return F.array_join(parts, "/")
-
-
-def join_path(folder: Column, rest: Column) -> Column:
-    return F.when(folder == "", rest).otherwise(F.concat_ws("/", folder, rest))
-
-
 def loc(text: Column) -> Column:
     """Number of lines; a final line break opens no further line."""
     n = F.size(F.split(text, "\n", -1)) - F.when(F.endswith(text, F.lit("\n")), 1).otherwise(0)

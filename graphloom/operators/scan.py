@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import candidates as cand
 from graphloom.functions.catalogue import classify_files
+from graphloom.functions.frontends import FrontEnds
 from graphloom.functions.paths import base_name, dir_name, loc
 from graphloom.functions.specifiers import extract
 from graphloom.plans.shared import materialise
@@ -22,10 +23,16 @@ NO_PROJECT = "\u0000"
 _SPEC = "project string, path string, lang string, ordinal int, line int, raw string"
 
 
-def prepare(tree: DataFrame) -> DataFrame:
-    """Files with text, status and language. Text that is not UTF-8 fails; only files to read keep their text."""
+def prepare(tree: DataFrame, ends: FrontEnds | None = None) -> DataFrame:
+    """Files with text, status and language. Text that is not UTF-8 fails; only files to read keep their text.
+
+    ``ends`` decides which extensions are read; source of other languages stays unread.
+    """
     t = tree.select("project", "path", "content", "bytes", F.coalesce("is_symlink", F.lit(False)).alias("is_symlink"), "excluded_by").dropDuplicates(["project", "path"])
     f = classify_files(t)
+    if ends is not None:
+        own = F.create_map(*[F.lit(x) for pair in ends.langs().items() for x in pair])[F.col("extension")]
+        f = f.withColumn("lang", own).withColumn("status", F.when(F.col("lang").isNotNull(), "analysed").when(F.col("status") == "analysed", "unsupported_language").otherwise(F.col("status")))
     text = F.col("content").cast("string")
     wanted = (F.col("status") == "analysed") & F.col("excluded_by").isNull() & ~F.col("is_symlink")
     good = F.col("content").isNotNull() & F.is_valid_utf8(text)
@@ -78,7 +85,7 @@ _CAND = _SPEC + ", keys array<string>, tag string, package string"
 GROUP_ROWS = 200_000
 
 
-def with_candidates(specs: DataFrame, config: DataFrame) -> DataFrame:
+def with_candidates(specs: DataFrame, config: DataFrame, candidates: Callable = cand.candidates) -> DataFrame:
     """Specifiers with their candidate keys.
 
     A project's configuration meets its specifiers once per group of some ``GROUP_ROWS``
@@ -88,7 +95,7 @@ def with_candidates(specs: DataFrame, config: DataFrame) -> DataFrame:
     def run(own: pd.DataFrame, conf: pd.DataFrame) -> pd.DataFrame:
         c = json.loads(conf["config"].iloc[0]) if len(conf) else {}
         made = own[["project", "path", "lang", "ordinal", "line", "raw"]].copy()
-        out = [cand.candidates(r.lang, r.raw, r.path, c) for r in own.itertuples(index=False)]
+        out = [candidates(r.lang, r.raw, r.path, c) for r in own.itertuples(index=False)]
         made["keys"], made["tag"], made["package"] = [k or [] for k, _, _ in out], [t for _, t, _ in out], [p for _, _, p in out]
         return made
 
@@ -98,14 +105,14 @@ def with_candidates(specs: DataFrame, config: DataFrame) -> DataFrame:
     return left.groupBy("project", "_group").cogroup(right.groupBy("project", "_group")).applyInPandas(run, _CAND)
 
 
-def resolve(specs: DataFrame, files: DataFrame) -> DataFrame:
+def resolve(specs: DataFrame, files: DataFrame, candidates: Callable = cand.candidates) -> DataFrame:
     """(project, path, lang, ordinal, line, raw, tag, package, targets): the ranked-candidate join.
 
     Candidates are exploded with their rank, joined with the keys of the project, and
     the least rank that exists decides; all files of that key are targets (a
     Go folder, a wildcard). ``tag`` is internal, external, unresolved or outside_root.
     """
-    c = with_candidates(specs, configs(files))
+    c = with_candidates(specs, configs(files), candidates)
     spread = c.select("project", "path", "ordinal", F.posexplode("keys").alias("rank", "key"))
     hit = spread.join(keys(files).withColumnRenamed("path", "target"), ["project", "key"])
     hit = hit.where(~F.startswith("key", F.lit("ns:")) | (F.col("target") != F.col("path")))  # a namespace's importer is no target
@@ -127,15 +134,15 @@ class Scan:
     failures: DataFrame
 
 
-def scan(tree: DataFrame, extractor: Callable[[str, str], list[tuple[int, str]]] = extract, store: Callable[[DataFrame, str], DataFrame] = materialise) -> Scan:
-    """The whole scan of a file table. ``store`` keeps the costly steps, which later ones read several times.
+def scan(tree: DataFrame, extractor: Callable[[str, str], list[tuple[int, str]]] = extract, store: Callable[[DataFrame, str], DataFrame] = materialise, ends: FrontEnds | None = None) -> Scan:
+    """The whole scan of a file table. ``ends`` replaces the built-in front ends; ``store`` keeps the costly steps, which later ones read several times.
 
     Files without a project form one project of their own; its rows come out with a null project.
     """
     keep = store
-    files = keep(prepare(tree.withColumn("project", F.coalesce("project", F.lit(NO_PROJECT)))), "files")
-    specs = keep(specifiers(files, extractor), "specifiers")
-    resolved = keep(resolve(specs, files), "resolved")
+    files = keep(prepare(tree.withColumn("project", F.coalesce("project", F.lit(NO_PROJECT))), ends), "files")
+    specs = keep(specifiers(files, ends.extract if ends else extractor), "specifiers")
+    resolved = keep(resolve(specs, files, ends.candidates if ends else cand.candidates), "resolved")
     known = files.select("project", F.col("path").alias("target"), "status", "excluded_by", "is_symlink")
     t = resolved.where(F.col("tag") == "internal").select("project", "path", "lang", "ordinal", "line", "raw", F.posexplode("targets").alias("k", "target")).join(known, ["project", "target"], "left")
     reason = F.when(F.col("excluded_by") == "always_skip", "skipped_directory").when(F.col("excluded_by").isNotNull() | F.col("is_symlink"), "gitignored").when(F.col("status") == "failed", "target_unreadable")

@@ -21,7 +21,7 @@ def classify(tree: DataFrame, catalogue: DataFrame) -> DataFrame:
     Extensions the catalogue lacks are ``not_source`` without a language;
     analysed content that is not UTF-8 is ``failed``.
     """
-    cat = F.broadcast(catalogue.select(F.lower("extension").alias("extension"), F.col("lang").alias("c_lang"), F.col("family"), F.col("status").alias("c_status")))
+    cat = catalogue.select(F.lower("extension").alias("extension"), F.col("lang").alias("c_lang"), F.col("family"), F.col("status").alias("c_status")).dropDuplicates(["extension"])
     f = tree.where(F.col("excluded_by").isNull() & ~F.coalesce("is_symlink", F.lit(False))).select("project", "path", extension(F.col("path")).alias("extension"), (F.col("content").isNotNull() & ~F.is_valid_utf8(F.col("content").cast("string"))).alias("bad")).distinct()
     j = f.join(cat, "extension", "left")
     status = F.when((F.col("c_status") == "analysed") & F.col("bad"), "failed").otherwise(F.coalesce("c_status", F.lit("not_source")))
@@ -70,10 +70,10 @@ def capped(diagnostics: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def language_stats(nodes: DataFrame, edges: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """Rates at three levels at once: (project, lang), project and all, by grouping sets.
+    """Edges and gaps at three levels at once: (project, lang), project and all, by grouping sets.
 
-    An edge is a resolved specifier of its source's language; diagnostics give
-    the unresolved and excluded ones; rate = resolved / (internal - excluded), 1.0 if that is 0.
+    Tables of edges hold no specifiers, so ``edge_rate`` = edges / (edges + unresolved) counts an
+    import of several files as several; the resolution rate proper is that of ``scan.counters``.
     """
     langs = nodes.where(F.col("kind") == "source").select("project", F.col("id").alias("source"), F.coalesce("lang", F.lit("unknown")).alias("lang"))
     zero = F.lit(0)
@@ -82,8 +82,7 @@ def language_stats(nodes: DataFrame, edges: DataFrame, diagnostics: DataFrame) -
     d = diagnostics.select("project", F.coalesce("lang", F.lit("unknown")).alias("lang"), zero.alias("files"), zero.alias("resolved"), (F.col("kind") == "unresolved").cast("int").alias("unresolved"), (F.col("kind") == "excluded").cast("int").alias("excluded"))
     u = f.unionByName(e).unionByName(d).groupBy("project", "lang").agg(*[F.sum(c).alias(c) for c in ("files", "resolved", "unresolved", "excluded")])
     g = u.groupingSets([["project", "lang"], ["project"], []], "project", "lang").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "resolved", "unresolved", "excluded")], F.grouping_id().alias("level"))
-    internal = F.col("resolved") + F.col("unresolved") + F.col("excluded")
-    return g.select("project", "lang", F.col("level").cast("bigint").alias("level"), "files", "resolved", "unresolved", "excluded", internal.alias("internal"), rate(F.col("resolved"), F.col("resolved") + F.col("unresolved")).alias("resolution_rate"))
+    return g.select("project", "lang", F.col("level").cast("bigint").alias("level"), "files", F.col("resolved").alias("edges"), "unresolved", "excluded", rate(F.col("resolved"), F.col("resolved") + F.col("unresolved")).alias("edge_rate"))
 
 
 def external_packages(nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.catalogue import ALWAYS_SKIP
+from graphloom.functions.catalogue import ALWAYS_SKIP, in_skipped_directory
 from graphloom.functions.paths import dir_name
 from graphloom.operators.graph import in_degree
 from graphloom.operators.stats import STATUS_RANK, coverage_extensions
@@ -49,7 +49,7 @@ def extension_table(files: DataFrame) -> DataFrame:
 def skipped_directories(tree: DataFrame) -> DataFrame:
     """(project, name, count): refused directories by name, each directory once however many files it holds."""
     parts = F.split("path", "/")
-    found = tree.where(F.col("excluded_by") == "always_skip").select("project", parts.alias("p"), F.transform(parts, lambda x: x.isin(*ALWAYS_SKIP)).alias("hit"))
+    found = tree.where((F.col("excluded_by") == "always_skip") & in_skipped_directory(F.col("path"))).select("project", parts.alias("p"), F.transform(parts, lambda x: x.isin(*ALWAYS_SKIP)).alias("hit"))
     found = found.withColumn("k", F.array_position("hit", True)).where((F.col("k") > 0) & (F.col("k") < F.size("p")))
     dirs = found.select("project", F.element_at("p", F.col("k").cast("int")).alias("name"), F.array_join(F.slice("p", F.lit(1), F.col("k").cast("int")), "/").alias("dir")).distinct()
     return dirs.groupBy("project", "name").agg(F.count(F.lit(1)).alias("count"))

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written by ``materialise`` within are deleted at the end; results must be stored before that."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialise(df: DataFrame, what: str, folders: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder, by the columns ``folders`` if given, and read it back.
 
@@ -33,5 +50,7 @@ def materialise(df: DataFrame, what: str, folders: list[str] | None = None) -> D
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path, partitionBy=folders)
     return spark.read.schema(df.schema).parquet(path)

@@ -253,7 +253,7 @@ u AS (SELECT project, lang, 1 AS files, 0 AS resolved, 0 AS unresolved, 0 AS exc
  UNION ALL SELECT e.project, coalesce(l.lang, 'unknown'), 0, 1, 0, 0 FROM e LEFT JOIN l USING (project, source)
  UNION ALL SELECT project, coalesce(lang, 'unknown'), 0, 0, (kind = 'unresolved')::INT, (kind = 'excluded')::INT FROM dg),
 g AS (SELECT project, lang, grouping_id(project, lang) AS level, sum(files)::BIGINT AS files, sum(resolved)::BIGINT AS resolved, sum(unresolved)::BIGINT AS unresolved, sum(excluded)::BIGINT AS excluded FROM u GROUP BY GROUPING SETS ((project, lang), (project), ()))
-SELECT *, resolved + unresolved + excluded AS internal, CASE WHEN resolved + unresolved <= 0 THEN 1.0::DOUBLE ELSE resolved::DOUBLE / (resolved + unresolved) END AS resolution_rate FROM g"""),
+SELECT project, lang, level, files, resolved AS edges, unresolved, excluded, CASE WHEN resolved + unresolved <= 0 THEN 1.0::DOUBLE ELSE resolved::DOUBLE / (resolved + unresolved) END AS edge_rate FROM g"""),
     "totals": _w("SELECT (SELECT count(DISTINCT id) FROM projects) AS projects, (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges"),
     "unassigned_files": "SELECT project, count(*) AS files FROM (SELECT DISTINCT project, path FROM tree) t ANTI JOIN (SELECT id AS project FROM projects) p USING (project) GROUP BY 1",
     "diagnostics_by_reason": _w("SELECT kind, reason, count(*) AS count, count(DISTINCT project) AS projects FROM dg GROUP BY ALL"),

@@ -149,3 +149,15 @@ def test_tree_source(spark, tmp_path):
     assert got[("a", "gen/x.ts")].excluded_by == "gitignore" and got[("a", "node_modules/m/i.js")].excluded_by == "always_skip" and got[("a", "node_modules/m/i.js")].content is None
     assert got[("a", "src/.hidden")].content == b"h" and got[("a", "src/_p.scss")].bytes == 0 and got[("b", "l.go")].is_symlink
     assert list(walk(str(tmp_path / "none"))) == []
+
+
+def test_scratch(spark):
+    import os
+
+    from graphloom.plans.shared import materialise, scratch, shared_dir
+
+    with scratch(spark):
+        kept = materialise(spark.range(3), "kept")
+        folder = next(f for f in os.listdir(shared_dir(spark).removeprefix("file://")) if f.startswith("kept-"))
+        assert kept.count() == 3
+    assert folder not in os.listdir(shared_dir(spark).removeprefix("file://"))

@@ -75,3 +75,18 @@ def test_languages(spark, files, want):
 def test_empty(spark):
     s = scan(spark.createDataFrame([], SCHEMA))
     assert s.nodes.count() == s.edges.count() == s.diagnostics.count() == 0
+
+
+def test_front_ends(spark):
+    from graphloom.functions.frontends import FrontEnd, FrontEnds, built_in
+
+    all_ = built_in()
+    assert all_.for_extension("TS").lang == "typescript" and all_.for_extension("kt") is None and len(all_.languages()) == 21 and "scss" in all_.extensions() and not all_.conflicts
+    words = FrontEnd("words", ("txt", "TS"), lambda text: [(k + 1, w) for k, line in enumerate(text.splitlines()) for w in line.split()], lambda lang, raw, path, config: ([f"f:{raw}.txt"], "external", raw))
+    other = FrontEnd("other", ("txt",), lambda text: [])
+    ends = FrontEnds([words, other])
+    assert ends.conflicts == [("txt", "other")] and ends.extensions() == ["ts", "txt"] and ends.languages() == ["other", "words"]
+    s = scan(tree(spark, {"a.txt": "b c\nzod", "b.txt": "", "c.txt": "a", "d.py": "import os"}), ends=ends)
+    assert edges(s) == [("a.txt", "b.txt"), ("a.txt", "c.txt"), ("c.txt", "a.txt")]
+    n = {r.id: (r.kind, r.lang, r.external_deps) for r in s.nodes.collect()}
+    assert n["a.txt"] == ("source", "words", ["zod"]) and n["d.py"][0] == "unread_source"
