@@ -34,8 +34,8 @@ ROOT_PRIOR = (3.0, 0.0, 0.0, 0.0, 0.0)
 
 #: Code of fewer characters (without comments and white space) is no evidence of a copy.
 COPY_CHARS = 300
-#: Code of fewer characters is neither called minified nor a mass of data.
-BULK_CHARS = 300
+#: Code of fewer characters says too little of its form to be called minified or a mass of data.
+BULK_CHARS = 100
 
 # --- fixed values: what tools and publishers write, and what projects call their folders ----------------
 GENERATED_BANNER = (
