@@ -187,7 +187,7 @@ def co_occurrence(nodes: DataFrame, min_joint: int = 5, min_share: int | None =
     k, ka, kb, t = (F.col(c).cast("double") for c in ("k_ab", "k_a", "k_b", "n"))
     h = lambda *xs: sum((_xlogx(x) for x in xs[1:]), _xlogx(xs[0]))
     llr = 2 * (h(k, ka - k, kb - k, t - ka - kb + k) - h(ka, t - ka) - h(kb, t - kb) + _xlogx(t))
-    pairs = pairs.withColumn("llr", llr)
+    pairs = pairs.withColumn("n", F.lit(n).cast("bigint")).withColumn("llr", llr)
     if min_llr is not None:
         pairs = pairs.where(F.col("llr") >= min_llr)
-    return pairs.withColumn("n", F.lit(n).cast("bigint")).select("name_a", "name_b", "k_a", "k_b", "k_ab", "n", (k * t / (ka * kb)).alias("lift"), "llr")
+    return pairs.select("name_a", "name_b", "k_a", "k_b", "k_ab", "n", (k * t / (ka * kb)).alias("lift"), "llr")
