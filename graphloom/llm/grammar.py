@@ -290,7 +290,8 @@ params = (param (',' param)* (',' '...')? | '...')?
 param = specs (declarator | abstract)? mark*
 abstract = ('*' qualifier*)+ (P:abstract | Q:bounds | P:params)* | (P:abstract | Q:bounds | P:params)+
 typename = specs abstract?
-funcdef = specs mark* declarator mark* declaration* B:block | id (P:params) declaration* B:block | qualifier+ id P:params B:block
+fdeclarator = ('*' qualifier*)* mark* (id | P:declarator) (Q:bounds)* P:params (Q:bounds | P:params)*
+funcdef = specs mark* fdeclarator mark* declaration* B:block | id (P:params) declaration* B:block | qualifier+ id P:params B:block
 block = (blockitem)*
 blockitem = CONST P:args | declaration | stmt | label | id P:args B:block | assert
 label = id ':' mark* | 'case' cond ('...' cond)? ':' | 'default' ':'
@@ -329,7 +330,7 @@ usetrees = (usetree (',' usetree)* ','?)?
 name = id | 'self' | 'super' | 'crate' | 'Self'
 fn = ('const' | 'async' | 'unsafe' | 'safe' | 'default' | 'extern' STR?)* 'fn' id gparams P:params ('->' type)? where? (B:block | ';')
 params = (attrs param (',' attrs param)* ','?)?
-param = '&' LT? 'mut'? 'self' | 'mut'? 'self' (':' type)? | pat ':' (type | '...') | '...' | type
+param = '&' LT? 'mut'? 'self' | 'mut'? 'self' (':' type)? | pat ':' (type | '...') | '...'
 gparams = ('<' (gparam (',' gparam)* ','?)? '>')?
 gparam = attrs (LT (':' bounds?)? | id (':' bounds?)? ('=' type)? | 'const' id ':' type ('=' (B:block | '-'? NUM | STR | id | 'true' | 'false'))?)
 where = 'where' (wherepred (',' wherepred)* ','?)?
@@ -494,7 +495,7 @@ hash = nls (pair nls (',' nls pair nls)* ','? nls)?
 pair = '**' arg | (LABEL | STR ':') nls arg? | arg nls '=>' nls arg | LABEL
 endless = 'edef' DEFNAME (P:fparams)? '=' nls (command ('§rescue' arg)?)
 group = K.def:def | K.class:class | K.module:module | K.begin:bodystmt | K.case:case | K.if:if | K.unless:if | K.while:while | K.until:while | K.for:for
-def = DEFNAME (P:fparams | fparams) sep bodystmt | DEFNAME (P:fparams)? bodystmt
+def = DEFNAME (P:fparams | fparams) sep bodystmt | DEFNAME P:fparams bodystmt
 fparams = nls (fparam nls (',' nls fparam nls)* nls)?
 fparam = ID ('=' arg)? | LABEL arg? | '*' ID? | '**' (ID | 'nil')? | '&' ID? | '...' | P:fparams
 class = ('::'? CONST ('::' CONST)* ('<' expr)? | '<<' expr | primary '::' CONST) sep bodystmt

@@ -543,7 +543,7 @@ def _shell_lexer() -> Callable[[str], str]:
                 continue
             if t in (";;", ";&", ";;&"):
                 out.append(CLASSES["ARMEND"])
-                arms = True
+                arms = start = True
             elif t in redirects:
                 out.append(CLASSES["REDIR"])
                 start = False

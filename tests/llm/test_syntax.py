@@ -70,18 +70,18 @@ VALID = {
         "foo a, b: 1 do |c|\n  d\nend\n", "a = b ? c : d\n", "while x do y end\nuntil a\n  b\nend\n", "h = { 'a' => 1, b: 2, \"c\": 3, **d }\n", "x = y\n  .map(&:z)\n  .select { _1 }\n", "begin\n  a\nend while b\n", "raise A, \"b #{c ? 'd' : \"e\"}\" unless f\n", "module A\n  class << self\n    def ==(o) = true\n    def x=(v)\n      @x = v\n    end\n  end\nend\n", "%w[a b].each do |x| puts x end\n", "a, *b = c, d\n", "f = ->(x, y = 1) { x }\n", "return if x\n", "puts(a) if b and not c\n", "x ||= begin; 1; end\n", "def a? = true\n", "p a: 1, b: 2\n",
     ],
     "shell": [
-        "while ( true ); do x; done", "until { a; }; do b; done", "for f in *.c \"$@\"; do echo ${f%.c}; done", "case $x in\n  (a|b) c;;\n  *) d\nesac", "f() { local a=$(g \"$1\"); [[ $a =~ ^x ]] && return; }", "a=(1 \"b c\" $d) e=f cmd >&2 2>/dev/null <<< \"$x\"", "cat <<EOF | grep x\nif (\nEOF\n", "if a; then b; elif c; then d; else e; fi | f &", "for ((i=0; i<3; i++)); do :; done", "function g { echo }; }\n", "! a && ( b; c ) || { d; }", "echo if then fi; x=`a $(b)`", "select x in a b; do break; done", "((x++)) ; echo $((1 << 2)) # (", "a |\n  b \\\n  c &&\nd",
+        "while ( true ); do x; done", "until { a; }; do b; done", "for f in *.c \"$@\"; do echo ${f%.c}; done", "case $x in\n  (a|b) c;;\n  *) d\nesac", "f() { local a=$(g \"$1\"); [[ $a =~ ^x ]] && return; }", "a=(1 \"b c\" $d) e=f cmd >&2 2>/dev/null <<< \"$x\"", "cat <<EOF | grep x\nif (\nEOF\n", "if a; then b; elif c; then d; else e; fi | f &", "for ((i=0; i<3; i++)); do :; done", "function g { echo }; }\n", "! a && ( b; c ) || { d; }", "echo if then fi; x=`a $(b)`", "select x in a b; do break; done", "case $1 in -h|--help) a; exit 0;; *) shift;; esac", "((x++)) ; echo $((1 << 2)) # (", "a |\n  b \\\n  c &&\nd",
     ],
 }
 BROKEN = {
-    "c": ["int f(void) { return 0 }", "void f(void) { g() h(); }", "int f(int a int b);", "struct a { int x };", "int f( {", "void f() { if x { } }", "int x = ;", "void f() { for (a; b) ; }", "int a[3;", "void f() { else x(); }", "int f(void) { x = 1", "enum { A B };", "def f(x):\n    return x\n", "char *s = \"abc;\n", "void f() { do { } while (x) }", "void f() { case: ; }"],
+    "c": ["int f(void) { return 0 }", "void f(void) { g() h(); }", "int f(int a int b);", "struct a { int x };", "int f( {", "void f() { if x { } }", "int x = ;", "class A { };", "int x { }", "void f() { for (a; b) ; }", "int a[3;", "void f() { else x(); }", "int f(void) { x = 1", "enum { A B };", "def f(x):\n    return x\n", "char *s = \"abc;\n", "void f() { do { } while (x) }", "void f() { case: ; }"],
     "go": ["package a\nfunc f() {\n\tif x {\n\t}\n\telse {\n\t}\n}\n", "package a\nfunc f() {\n\tx := \n}\n", "func f() {}\n", "package a\nvar x = []int{1\n}\n", "package a\nfunc f(a int b) {}\n", "package a\nfunc f() { return 1 2 }\n", "package a\nfunc f() { for i := 0; i < 3 { } }\n", "package a\nif x { }\n", "package a\nfunc f() { while x { } }\n", "package a\nfunc f() { var }\n", "package a\nx := 1\n"],
     "java": ["class A { int f() { return 0 } }", "class A { void f() { g() h(); } }", "class A { void f() { int x = 1 } }", "class A { void f( { } }", "class A { void f() { void g() { } } }", "class A { int x y; }", "class A { void f() { if x { } } }", "class A { void f() { try { } } }", "class A { f() { }", "import a.b\nclass A { }", "class A { void f() { x = ; } }", "class A { else }", "class A { void f() { for (int i = 0; i < 3) { } } }", "clas A { }"],
     "javascript": ["else else", "const a;", "f(1 2)", "x = {a b}", "function (a) {}", "if (a) { b", "let x = ;", "a b", "class A { x() }", "for (let i = 0; i < 3) {}", "import { a } frm 'b'", "x = [1, 2", "try { }", "return }", "function f(a: number) {}", "switch (x) { foo() }", "const {a} ;", "var 1a", "x = 'a\n'", "a => { "],
     "typescript": ["interface A { b: }", "let x: = 1", "type A = ;", "enum A { b c }", "class A { private }}", "const f = (x: string => x", "function f(x?: ) {}", "const a;", "import type from", "let x: Array<string = []"],
-    "rust": ["fn f() { let = 1; }", "fn f( { }", "fn f() { x y }", "struct S { a: u8 b: u8 }", "let x = 1;", "fn f() { if { } }", "fn f() -> { }", "use a::;", "fn f() { match x { a b } }", "impl { }", "fn f() { let x = 1 let y = 2; }", "pub fn", "enum E { A B }", "fn f() { \"abc }"],
+    "rust": ["fn f() { let = 1; }", "fn f(x) {}", "fn f( { }", "fn f() { x y }", "struct S { a: u8 b: u8 }", "let x = 1;", "fn f() { if { } }", "fn f() -> { }", "use a::;", "fn f() { match x { a b } }", "impl { }", "fn f() { let x = 1 let y = 2; }", "pub fn", "enum E { A B }", "fn f() { \"abc }"],
     "python": ["def f()\n  pass\n", "x = \n", "if x\n  y\n", "f(a b)\n", "class A\n", "  x = 1\n", "if x:\ny = 1\n", "for in y:\n  pass\n", "print 'a'\n", "x = (1, 2\n", "def f(a, a b): pass\n", "else:\n  x\n", "try:\n  x\n", "return return\n", "x = 'a\n", "import\n", "a = b c\n", "lambda x y: 1\n", "{1: 2, 3}\n", "if x:\n    a\n  b\n", "raise E, 'x'\n", "x = [i for i]\n"],
-    "ruby": ["def f\n  x\n", "x = \n", "class a\nend\n", "if x\n  y\n", "end\n", "foo(1, 2\n", "def f(x):\n  return x\n", "x = [1, 2\n", "{ a: 1\n", "puts 'a\n", "case x\nend\n", "a b c d e 1 2\n", "x = 1 2\n", "def f(\nend\n"],
+    "ruby": ["def f\n  x\n", "def f(a b)\nend\n", "x = \n", "class a\nend\n", "if x\n  y\n", "end\n", "foo(1, 2\n", "def f(x):\n  return x\n", "x = [1, 2\n", "{ a: 1\n", "puts 'a\n", "case x\nend\n", "a b c d e 1 2\n", "x = 1 2\n", "def f(\nend\n"],
     "shell": ["if a; then b", "for x in a; b; done", "case x in a) b", "fi", "a | | b", "f( { }", "while x; do y", "echo 'a", "a &&", "if ; then x; fi", "for do done", "do x; done", "{ a", "( a ) b", "x() y", "case x a) b ;; esac", "; a"],
 }
 
